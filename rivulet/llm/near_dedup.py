@@ -9,11 +9,11 @@ coordinates, and each coordinate keeps its earliest dart. Two signatures agree i
 with the probability of their weighted Jaccard similarity. Coordinates are joined in bands;
 what meets in a band is verified exactly on the shingles themselves.
 
-Large bands aren't expanded into pairs: each round verifies every member of a band against one
-pivot only, links are contracted to components, and just bands whose members still lie in
-different components go on. Once the pairs left over are fewer than ``LEFT_PAIRS`` times the
-texts they are all verified, so every pair of different texts that meets in a band is either
-verified or already joined by verified links.
+Bands aren't expanded into pairs: a round verifies every member of a band against one pivot only
+(the member that meets most others), links are contracted to components, and only bands whose
+members still lie in different components go on. When rounds no longer join much, the texts left
+are compared exactly in blocks of two chunks, by matrix products. So every two texts that meet in
+a band are either compared or already joined by verified links, and rows stay linear.
 """
 
 from __future__ import annotations
@@ -29,9 +29,8 @@ from rivulet.llm.common import GOLDEN, materialize, mix, normal_words, release,
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 BANDS, BAND_ROWS = 32, 6
-#: Cross pairs left in bands, as a multiple of texts, that are verified in one go.
-LEFT_PAIRS = 2
-MAX_INT64 = (1 << 63) - 1
+#: Texts of a chunk that is compared with others as a block, and matrix columns held at once.
+CHUNK_TEXTS, BLOCK_COLUMNS = 64, 8192
 
 
 def unit_elements(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -191,6 +190,46 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return materialize(roots.union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()).distinct())
 
 
+def _similar_in_block(similarity: float):
+    def run(rows):
+        import pandas as pd
+
+        node, root = rows["node"].to_numpy(), rows["root"].to_numpy()
+        sizes = np.array([len(x) for x in rows["sketch"]])
+        _, column = np.unique(np.concatenate(rows["sketch"].to_numpy()), return_inverse=True)
+        owner = np.repeat(np.arange(len(node)), sizes)
+        order = np.argsort(column, kind="stable")
+        column, owner = column[order], owner[order]
+        common = np.zeros((len(node), len(node)), np.float32)
+        for low in range(0, int(column[-1]) + 1, BLOCK_COLUMNS):
+            a, b = np.searchsorted(column, [low, low + BLOCK_COLUMNS])
+            held = np.zeros((len(node), BLOCK_COLUMNS), np.float32)
+            held[owner[a:b], column[a:b] - low] = 1
+            common += held @ held.T
+        enough = common >= similarity * (sizes[:, None] + sizes[None, :] - common)
+        x, y = np.nonzero(np.triu(enough, 1) & (root[:, None] != root[None, :]))
+        return pd.DataFrame({"a": np.minimum(node[x], node[y]), "b": np.maximum(node[x], node[y])})
+
+    return run
+
+
+def _compare_blocks(still: DataFrame, home: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between texts of different roots in bands (band, node, root), all compared exactly.
+
+    Texts are put in chunks of about CHUNK_TEXTS that share a home; two chunks that share a band
+    are compared as one block by a matrix product, so no pair of texts becomes a row unless it is a link.
+    """
+    nodes = still.select("node", "root").distinct().join(home, "node")
+    parts = nodes.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / CHUNK_TEXTS).alias("parts"))
+    part = F.pmod(F.xxhash64("node"), F.col("parts"))
+    chunked = materialize(nodes.join(parts, "home").select("node", "root", F.struct("home", part.alias("part")).alias("chunk")))
+    by_band = still.join(chunked.select("node", "chunk"), "node").select("band", "chunk").distinct()
+    blocks = by_band.join(by_band.withColumnRenamed("chunk", "other"), "band").filter(F.col("chunk") <= F.col("other")).select("chunk", "other").distinct()
+    rows = blocks.select("chunk", "other", F.explode(F.array_distinct(F.array("chunk", "other"))).alias("_chunk"))
+    rows = rows.join(chunked.withColumnRenamed("chunk", "_chunk"), "_chunk").join(sketches.dropDuplicates(["node"]), "node")
+    return rows.groupBy("chunk", "other").applyInPandas(_similar_in_block(similarity), "a long, b long")
+
+
 def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row per row of ``docs``: its id, ``text_key``, ``class_id``, ``class_size`` and ``is_kept``.
 
@@ -209,13 +248,15 @@ def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     rows = materialize(base.mapInArrow(_bands(BANDS, BAND_ROWS), schema).withColumn("row", F.monotonically_increasing_id()))
     wordy = rows.filter(F.size("bands") > 0)
     texts = materialize(wordy.groupBy("key").agg(F.min("row").alias("node"), F.min("id").alias("least_id"), F.count(F.lit(1)).alias("copies")))
-    n_texts = texts.count()
 
     # bands in which different texts meet
     reps = wordy.join(texts.select("key", "node"), "key").filter(F.col("row") == F.col("node"))
     entries = reps.select("node", F.explode("bands").alias("band"))
-    shared = entries.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).filter("n > 1").drop("n")
-    members = materialize(entries.join(shared, "band").select("band", "node", "pivot"))
+    shared = entries.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = materialize(entries.join(shared, "band").select("band", "node", "n"))
+    # the text that meets most others is the likeliest to be what the rest were copied from
+    weights = met.groupBy("node").agg(F.sum("n").alias("weight"))
+    members = materialize(met.join(weights, "node").select("band", "node", "weight"))
 
     # what verifies them: the (shingle, occurrence) hashes of every text that meets another
     involved = members.select("node").distinct().join(texts.select("node", "key", "least_id"), "node")
@@ -227,39 +268,33 @@ def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         both = F.size(F.array_intersect("sa", "sb"))
         return pairs.join(left, "a").join(right, "b").filter(both >= F.lit(similarity) * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
-    edges = materialize(
-        verified(members.filter(F.col("node") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
-    )
-    roots = connected_components(edges)
-    open_ = members.filter(F.col("node") != F.col("pivot")).select("band", "node").union(members.select("band", F.col("pivot").alias("node")).distinct())
-    done = members.select("band", F.col("pivot").alias("node")).distinct()
-    for turn in range(1, 1 << 30):
-        labelled = open_.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-        sizes = labelled.groupBy("band", "root").agg(F.count(F.lit(1)).alias("m"))
-        split = sizes.groupBy("band").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("mm"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
-        still = materialize(labelled.join(split.select("band"), "band"))
-        pairs_left = split.agg(F.sum((F.col("m") * F.col("m") - F.col("mm")) / 2)).first()[0] or 0
-        if not pairs_left:
-            release(still)
+    def pivots(rows: DataFrame) -> DataFrame:
+        central = F.max(F.struct("weight", "node", "root")).alias("p")
+        return rows.groupBy("band").agg(central).select("band", F.col("p.node").alias("pivot"), F.col("p.root").alias("pivot_root"))
+
+    still = members.withColumn("root", F.col("node"))
+    roots, tried, home = None, None, None
+    while True:
+        waiting = still if tried is None else still.join(tried, ["band", "node"], "left_anti")
+        central = F.max(F.struct("weight", "node", "root")).alias("p")
+        pivots = materialize(waiting.groupBy("band").agg(central).select("band", F.col("p.node").alias("pivot"), F.col("p.root").alias("pivot_root"), F.col("p.weight").alias("pivot_weight")))
+        if home is None:  # texts that share their most central neighbour are likely to meet again
+            nearest = F.max(F.struct("pivot_weight", "pivot"))["pivot"].alias("home")
+            home = materialize(still.join(pivots, "band").groupBy("node").agg(nearest))
+        pairs = still.join(pivots, "band").filter(F.col("root") != F.col("pivot_root"))
+        fresh = materialize(verified(pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()))
+        tried = pivots.select("band", F.col("pivot").alias("node")) if tried is None else materialize(tried.union(pivots.select("band", "pivot")))
+        roots = connected_components(fresh if roots is None else roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(fresh))
+        labelled = still.drop("root").join(roots, "node", "left").select("band", "node", "weight", F.coalesce("root", "node").alias("root"))
+        split = labelled.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("band")
+        still = materialize(labelled.join(split, "band"))
+        left = still.select("node").distinct().count()
+        if not left:
             break
-        last = pairs_left <= LEFT_PAIRS * n_texts
-        if last:
-            x, y = still.alias("x"), still.alias("y")
-            pairs = x.join(y, F.col("x.band") == F.col("y.band")).filter((F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")))
-            pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-        else:  # another pivot of each band, against all its members elsewhere
-            waiting = still.join(done, ["band", "node"], "left_anti")
-            pivots = waiting.groupBy("band").agg(F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(turn))).alias("p"))
-            pairs = still.join(pivots, "band").filter(F.col("root") != F.col("p.root"))
-            pairs = pairs.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
-            done = materialize(done.union(pivots.select("band", "p.node")))
-        fresh = materialize(verified(pairs))
-        edges = edges.union(fresh)
-        if fresh.limit(1).count():
+        if fresh.count() * 20 < left:  # pivots don't join much more: compare what is left in blocks
+            fresh = materialize(_compare_blocks(still, home, sketches, similarity))
             roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(fresh))
-        if last:
             break
-        open_ = still.select("band", "node")
 
     labelled = texts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = F.min(F.struct(F.col("least_id").isNull().alias("none"), "least_id", "key"))
