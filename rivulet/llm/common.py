@@ -20,6 +20,8 @@ BASE_INVERSE = pow(BASE, -1, 1 << 64)
 
 #: Bytes of text hashed at once.
 LONG_TEXT = 1 << 22
+#: Rows of a narrow table that may be broadcast.
+BROADCAST_ROWS = 100_000
 #: Rows that a cell of ``rank_within`` aims at.
 CELL_ROWS = 20_000
 
@@ -165,6 +167,11 @@ def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
+def checked_broadcast(df: DataFrame) -> DataFrame:
+    """Hint a broadcast of a materialized table only if it has at most BROADCAST_ROWS rows; else Spark joins by shuffles."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def rank_within(
     df: DataFrame, keys: Sequence[str], cell: Column, order: Sequence[str | Column], rank: str, narrow: DataFrame | None = None
 ) -> DataFrame:
@@ -178,5 +185,5 @@ def rank_within(
     before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     within = Window.partitionBy(*keys, "_cell").orderBy(*order)
-    joined = df.withColumn("_cell", cell).join(cells, [*keys, "_cell"])
+    joined = df.withColumn("_cell", cell).join(checked_broadcast(materialize(cells)), [*keys, "_cell"])
     return joined.withColumn(rank, F.col("_before") + F.row_number().over(within)).drop("_cell", "_before")
