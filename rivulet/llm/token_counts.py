@@ -232,7 +232,7 @@ def token_counts(docs: DataFrame, tokenizer: str, text_column: str = "text", chu
         maps = maps.mapInPandas(_maps(tokenizer), "row long, at long, head string, n long, tail string")
         left = -(-longest // chunk)
         while left > 1:
-            maps = maps.withColumn("at", F.expr(f"at div {FAN}")).groupBy("row", "at").applyInPandas(_compose(tokenizer), "row long, at long, head string, n long, tail string")
+            maps = maps.withColumn("up", F.expr(f"at div {FAN}")).groupBy("row", "up").applyInPandas(_compose(tokenizer), "row long, at long, head string, n long, tail string")
             left = -(-left // FAN)
         ends = maps.select("row", F.coalesce("n", F.lit(0)).alias("between"), F.coalesce("head", F.lit("")).alias("head"), F.coalesce("tail", F.lit("")).alias("tail"))
         ends = ends.select("row", "between", F.explode(F.array("head", "tail")).alias("text"))
