@@ -91,11 +91,13 @@ class Voters:
             return np.full(len(counts), 0.5)
         prior, out = float(self.labels.mean()), np.zeros(len(counts))
         k = min(NEIGHBOURS, len(self.labels))
+        rare = np.sqrt(max(prior, 1e-3) / max(1 - prior, 1e-3))  # votes of the rarer label count for more
         for a in range(0, len(counts), block):
             z = _unit(self.weigh(counts[a : a + block], self.idf) @ self.basis)
             cosines = z @ self.latent.T
             near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
             votes = np.maximum(np.take_along_axis(cosines, near, 1), 0).astype(np.float64) ** POWER
+            votes *= np.where(self.labels[near] > 0, 1.0, rare)
             out[a : a + block] = ((votes * self.labels[near]).sum(axis=1) + PRIOR_VOTE * prior) / (votes.sum(axis=1) + PRIOR_VOTE)
         return np.clip(out, 0, 1)
 

@@ -42,6 +42,10 @@ def _pieces(text: Column, kind: int, pattern: str, good=None) -> Column:
     return F.transform(zipped, lambda x, i: F.struct(F.lit(kind).alias("rank"), i.alias("at"), x["b"].alias("b"), x["m"].alias("m"), x["g"].alias("good")))
 
 
+def _of_rank(rank: int):
+    return lambda s: s["rank"] == rank
+
+
 def scan_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", scope: int = SCOPE) -> DataFrame:
     """(id, n_assign, n_access, n_hex, base_sha256, spans, n_linked) for every row of ``docs``.
 
@@ -101,14 +105,13 @@ def scan_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     line = lambda s: F.concat_ws(":", F.element_at(names, s["rank"] + 1), s["start"].cast("string"), s["stop"].cast("string"))
     joined = lambda found: F.array_join(F.transform(found, line), ",")
     every = F.coalesce(F.col("all"), F.array().cast("array<struct<start:int,rank:int,stop:int>>"))
-    count = lambda test: F.size(F.filter("every", test)).cast("long")
     out = rows.select("_row", "_id").join(by_row, "_row", "left").select(F.col("_id").alias(id_column), every.alias("every"))
     return out.select(
         id_column,
-        *[count(lambda s, i=i: s["rank"] == i).alias(f"n_{k}") for i, k in enumerate(KINDS[:BASE])],
+        *[F.size(F.filter("every", _of_rank(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS[:BASE])],
         F.sha2(joined(F.filter("every", lambda s: s["rank"] < BASE)), 256).alias("base_sha256"),
         joined(F.col("every")).alias("spans"),
-        count(lambda s: s["rank"] >= BASE).alias("n_linked"),
+        F.size(F.filter("every", lambda s: s["rank"] >= BASE)).cast("long").alias("n_linked"),
     )
 
 

@@ -21,11 +21,16 @@ SHARDS = 16
 PARCELS, PIECES = 8192, 256
 
 
+#: How much bytes, tokens and rows count in the dot product: the law is about bytes.
+WEIGHTS = (4, 1, 1)
+
+
 def pack(loads: np.ndarray, shards: int) -> np.ndarray:
     """The shard of each parcel; loads has a row (bytes, tokens, rows) for each."""
     total = np.maximum(loads.sum(axis=0), 1)
-    scaled = loads / total * shards  # a shard's capacity is 1 in each dimension
-    residual = np.ones((shards, loads.shape[1]))
+    weights = np.sqrt(np.array(WEIGHTS))
+    scaled = loads / total * shards * weights  # a shard's capacity is its weight in each dimension
+    residual = np.ones((shards, loads.shape[1])) * weights
     chosen = np.zeros(len(loads), np.int64)
     for i in np.lexsort((np.arange(len(loads)), -scaled.max(axis=1), -scaled[:, 0])):
         at = int(np.argmax(residual @ scaled[i]))
