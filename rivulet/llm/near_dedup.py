@@ -30,7 +30,7 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 BANDS, BAND_ROWS = 32, 6
 #: Texts of a chunk that is compared with others as a block, and matrix columns held at once.
-CHUNK_TEXTS, BLOCK_COLUMNS = 64, 8192
+CHUNK_TEXTS, BLOCK_COLUMNS = 256, 4096
 
 
 def unit_elements(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
