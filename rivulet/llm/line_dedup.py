@@ -66,7 +66,7 @@ def drop_recurring_lines(docs: DataFrame, id_column: str = "doc_id", text_column
     recurring = in_docs.groupBy("template").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_docs)
     gone = generalised.join(recurring, "template", "left_semi").select("hash").union(kinds.filter(F.col("docs") >= least_docs).select("hash")).distinct()
     drops = held.select("doc", "hash").join(gone, "hash").groupBy("doc").agg(F.collect_set("hash").alias("_gone"))
-    drops = checked_broadcast(materialize(drops.withColumnRenamed("doc", "_doc")))
+    drops = materialize(drops.withColumnRenamed("doc", "_doc"))  # grows with the documents: joined by shuffle at any size
 
     rest = docs.drop(*[c for c in ("n_lines", "n_dropped") if c in docs.columns])
     joined = rest.join(drops, F.xxhash64(F.col(id_column), text_key(text_column)) == F.col("_doc"), "left")
