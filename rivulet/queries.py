@@ -15,6 +15,7 @@ from rivulet.engine import Engine, Options
 from rivulet.export import basin_id_problem, basin_rows, batch_summary, default_basin_id, geojson_features, row_groups
 from rivulet.fabric import SQL, WIDTH, Fabric, synthetic_fabric, synthetic_outlets
 from rivulet.geometry import border_edges, fits_together
+from rivulet.refine import Grid, refine
 from rivulet.resolve import method_label, resolve_by_containment, resolve_by_snap
 from rivulet.validate import violations
 
@@ -409,6 +410,18 @@ def d8_declaration_pick(spark, sf_dir):
     return covering_rasters(u.select(F.col("id").alias("terminal_id"), "xmin", "ymin", "xmax", "ymax"), rasters)
 
 
+@query()
+def terminal_refinement(spark, sf_dir):
+    """Boxes of 7 x 9 cells refined to what drains to a stream cell near their middle."""
+    cells = _cells(spark, sf_dir).drop("grid_id")
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").agg(F.floor(F.count(F.lit(1)) / F.lit(float(WIDTH))).cast("int")).first()[0]
+    grid = Grid(cells, 0.0, 0.0, 1.0, -1.0, rows, WIDTH)
+    k = F.col("event_id")
+    x, y = (k * 37 % 90).cast("double"), -(k * 53 % max(rows - 2, 1)).cast("double")
+    boxes = spark.read.parquet(f"{sf_dir}/events.parquet").filter("event_id < 200").select(k.alias("terminal_id"), k.alias("unit_id"), (x + 4).alias("lon"), (y - 4).alias("lat"), X.rectangle_edges(x, y - 7, x + 9, y).alias("edges"))
+    return refine(boxes, grid, 40.0).select("terminal_id", "status", "reason", "n_cells", "pour_row", "pour_col")
+
+
 # export
 
 
