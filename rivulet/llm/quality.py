@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 
 from rivulet.llm.common import materialize, normal_words, string_slices, text_or_empty, word_hashes
 
-TERMS, RANK, NEIGHBOURS = 4096, 48, 25
+TERMS, RANK, NEIGHBOURS = 2048, 48, 25
 #: Labelled documents that the classifier is fitted on at most (those of least hash).
-SAMPLE = 4096
+SAMPLE = 2048
 THRESHOLD = 0.3
 #: Similarities are raised to this power as votes; PRIOR_VOTE is the weight of the sample's mean.
 POWER, PRIOR_VOTE = 8, 0.02
