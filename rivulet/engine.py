@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from rivulet.closure import upstream_closure
 from rivulet.errors import DatasetError, ResolutionError
 from rivulet.fabric import Fabric
-from rivulet.geometry import border_edges, dissolved, fits_together
+from rivulet.geometry import border_edges, dissolved
 from rivulet.resolve import RADIUS_M, TOLERANCE_M, method_label, resolve_by_containment, resolve_by_snap
 from rivulet.validate import invalid_coordinates
 
@@ -96,8 +96,7 @@ class Engine:
         if refined is not None:
             other = refined.select("terminal_id", "unit_id", F.col("edges").alias("_refined"))
             units = units.join(other, ["terminal_id", "unit_id"], "left").withColumn("edges", F.coalesce("_refined", "edges"))
-        border = border_edges(units, "terminal_id")
-        return dissolved(border, "terminal_id", options.least_hole).join(fits_together(border, "terminal_id"), "terminal_id")
+        return dissolved(border_edges(units, "terminal_id"), "terminal_id", options.least_hole)
 
     # one call
 

@@ -50,30 +50,38 @@ def fits_together(border: DataFrame, key: str) -> DataFrame:
     return vertices.groupBy(key).agg(F.bool_and((F.col("d") == 0) & (F.col("times") == 1)).alias("is_clean"))
 
 
+def _packed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """One sortable key of a vertex; coordinates fit 32 bits each."""
+    return (x.astype(np.int64) + (1 << 31)).astype(np.uint64) << np.uint64(32) | (y.astype(np.int64) + (1 << 31)).astype(np.uint64)
+
+
 def stitch(edges: np.ndarray) -> list[np.ndarray]:
     """Closed rings of directed edges (n, 4). At a vertex of several ways out the sharpest left turn is taken,
-    so polygons that touch at a point stay apart; straight runs keep their first and last vertex alone."""
-    after: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for x0, y0, x1, y1 in sorted(map(tuple, edges.tolist())):
-        after.setdefault((x0, y0), []).append((x1, y1))
-    rings = []
-    for start in sorted(after):
-        while after[start]:
-            ring, here = [start], after[start].pop(0)
-            while here != start:
-                before = ring[-1]
-                ring.append(here)
-                ways = after[here]
-                if len(ways) > 1:
-                    angle = np.arctan2(before[1] - here[1], before[0] - here[0])
-                    turn = [(angle - np.arctan2(w[1] - here[1], w[0] - here[0])) % (2 * np.pi) for w in ways]
-                    here = ways.pop(int(np.argmin(turn)))
-                else:
-                    here = ways.pop()
-            p = np.array(ring, np.int64)
+    so polygons that touch at a point stay apart; straight runs keep their first and last vertex alone.
+    Edges that lead nowhere are left out."""
+    e = edges[np.lexsort((edges[:, 3], edges[:, 2], edges[:, 1], edges[:, 0]))].astype(np.int64)
+    starts, ends = _packed(e[:, 0], e[:, 1]), _packed(e[:, 2], e[:, 3])
+    low, high = np.searchsorted(starts, ends, "left"), np.searchsorted(starts, ends, "right")
+    after = np.where(high > low, low, -1)
+    for i in np.flatnonzero(high - low > 1):
+        back = np.arctan2(e[i, 1] - e[i, 3], e[i, 0] - e[i, 2])
+        ways = e[low[i] : high[i]]
+        turn = (back - np.arctan2(ways[:, 3] - ways[:, 1], ways[:, 2] - ways[:, 0])) % (2 * np.pi)
+        after[i] = low[i] + int(np.argmin(turn))
+    following, seen, rings = after.tolist(), bytearray(len(e)), []
+    for first in range(len(e)):
+        path, at = [], first
+        while at >= 0 and not seen[at]:
+            seen[at] = 1
+            path.append(at)
+            at = following[at]
+        if path and at == first:
+            p = e[path, :2]
             d1, d2 = p - np.roll(p, 1, axis=0), np.roll(p, -1, axis=0) - p
-            rings.append(p[d1[:, 0] * d2[:, 1] != d1[:, 1] * d2[:, 0]])
-    return [r for r in rings if len(r) > 2]
+            p = p[d1[:, 0] * d2[:, 1] != d1[:, 1] * d2[:, 0]]
+            if len(p) > 2:
+                rings.append(p)
+    return rings
 
 
 def planar_area(ring: np.ndarray) -> float:
@@ -106,25 +114,25 @@ def polygons(rings: list[np.ndarray], least_hole: float | None = None) -> list[l
     return out
 
 
-def canonical(shape: list[list[np.ndarray]]) -> list[list[list[tuple[float, float]]]]:
-    """Rings closed, begun at their least vertex, holes and polygons in order, six decimals."""
+def canonical(shape: list[list[np.ndarray]]) -> list[list[np.ndarray]]:
+    """Closed rings of degrees to six decimals, begun at their least vertex, holes and polygons in order."""
 
-    def ring(r: np.ndarray, left: bool) -> list[tuple[float, float]]:
-        pts = [tuple(np.round(p / 10.0**DECIMALS, 6) + 0.0) for p in (r if (planar_area(r) > 0) == left else r[::-1])]
-        at = pts.index(min(pts))
-        pts = pts[at:] + pts[:at]
-        return [(float(x), float(y)) for x, y in [*pts, pts[0]]]
+    def ring(r: np.ndarray, left: bool) -> np.ndarray:
+        p = np.round((r if (planar_area(r) > 0) == left else r[::-1]) / 10.0**DECIMALS, 6) + 0.0
+        p = np.roll(p, -int(np.lexsort((p[:, 1], p[:, 0]))[0]), axis=0)
+        return np.concatenate([p, p[:1]])
 
-    return sorted([ring(p[0], True), *sorted(ring(h, False) for h in p[1:])] for p in shape)
+    place = lambda r: (*r[0], len(r), r.tobytes())
+    return sorted(([ring(p[0], True), *sorted((ring(h, False) for h in p[1:]), key=place)] for p in shape), key=lambda p: place(p[0]))
 
 
-def to_wkb(shape: list[list[list[tuple[float, float]]]]) -> bytes:
+def to_wkb(shape) -> bytes:
     """Little-endian 2-D MultiPolygon."""
     out = [struct.pack("<BII", 1, 6, len(shape))]
     for polygon in shape:
         out.append(struct.pack("<BII", 1, 3, len(polygon)))
         for ring in polygon:
-            out.append(struct.pack("<I", len(ring)) + np.array(ring, "<f8").tobytes())
+            out.append(struct.pack("<I", len(ring)) + np.ascontiguousarray(ring, "<f8").tobytes())
     return b"".join(out)
 
 
@@ -161,26 +169,31 @@ def from_wkb(data: bytes) -> list[list[list[tuple[float, float]]]]:
     return out
 
 
-def geodesic_area_km2(shape: list[list[list[tuple[float, float]]]]) -> float:
+def geodesic_area_km2(shape) -> float:
     """Area on WGS 84 with geodesic edges (Karney 2013: S12 of each edge, equation 59 by quadrature)."""
-    total = 0.0
-    for polygon in shape:
-        for i, ring in enumerate(polygon):
-            part = abs(_ring_area(np.radians(np.array(ring, float))))
-            total += -part if i else part
-    return total / 1e6
+    rings = [np.radians(np.asarray(r, float)) for polygon in shape for r in polygon]
+    if not rings:
+        return 0.0
+    outer = [i == 0 for polygon in shape for i in range(len(polygon))]
+    ends = [np.concatenate([r[k] for r in rings]) for k in (slice(None, -1), slice(1, None))]
+    begins = np.cumsum([0, *[len(r) - 1 for r in rings[:-1]]])
+    each = np.concatenate([_under(ends[0][i : i + 50_000], ends[1][i : i + 50_000]) for i in range(0, len(ends[0]), 50_000)])
+    areas = np.abs(np.add.reduceat(each, begins))
+    return float(np.where(outer, areas, -areas).sum()) / 1e6
 
 
-_NODES, _WEIGHTS = np.polynomial.legendre.leggauss(24)
+_NODES, _WEIGHTS = np.polynomial.legendre.leggauss(16)
 
 
-def _ring_area(p: np.ndarray) -> float:
-    lon1, lat1, lon2, lat2 = p[:-1, 0], p[:-1, 1], p[1:, 0], p[1:, 1]
-    lon = (lon2 - lon1 + np.pi) % (2 * np.pi) - np.pi
+def _under(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Square metres between each geodesic edge and the equator, signed by its direction."""
+    out = np.zeros(len(p))
+    lat1, lat2 = p[:, 1], q[:, 1]
+    lon = (q[:, 0] - p[:, 0] + np.pi) % (2 * np.pi) - np.pi
     some = (lon != 0) & ((lat1 != 0) | (lat2 != 0))  # along meridians and the equator nothing is enclosed
     lon, lat1, lat2 = lon[some], lat1[some], lat2[some]
     if not len(lon):
-        return 0.0
+        return out
     b = A * (1 - FLAT)
     e2 = FLAT * (2 - FLAT)
     ep2 = e2 / (1 - e2)
@@ -218,21 +231,28 @@ def _ring_area(p: np.ndarray) -> float:
     integrand = (t(ep2) - t(x)) / (ep2 - x) * np.sin(angles) / 2
     integral = (integrand * _WEIGHTS).sum(axis=1) * half
     # equation 59 integrates from the next equator crossing backwards: its sign is negative
-    return float((c2 * turn - e2 * A * A * cos_a0 * sin_a0 * integral).sum())
+    out[some] = c2 * turn - e2 * A * A * cos_a0 * sin_a0 * integral
+    return out
 
 
-SHAPE = T.StructType([T.StructField("geometry", T.BinaryType()), T.StructField("area_km2", T.DoubleType()), T.StructField("parts", T.IntegerType())])
+SHAPE = T.StructType(
+    [T.StructField("geometry", T.BinaryType()), T.StructField("area_km2", T.DoubleType()), T.StructField("parts", T.IntegerType()), T.StructField("is_clean", T.BooleanType())]
+)
 
 
 def dissolved(border: DataFrame, key: str, least_hole: float | None = None) -> DataFrame:
-    """(key, geometry, area_km2, parts): the canonical WKB MultiPolygon of each key's border edges.
+    """(key, geometry, area_km2, parts, is_clean): the canonical WKB MultiPolygon of each key's border edges.
 
-    A border is far smaller than its pieces; each key's is stitched by one task.
+    A border is far smaller than its pieces; each key's is stitched by one task. ``is_clean`` is that of
+    :func:`fits_together`.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        shape = canonical(polygons(stitch(pdf[["x0", "y0", "x1", "y1"]].to_numpy(np.int64)), least_hole))
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "geometry": [to_wkb(shape)], "area_km2": [geodesic_area_km2(shape)], "parts": [len(shape)]})
+        edges = pdf[["x0", "y0", "x1", "y1"]].to_numpy(np.int64)
+        shape = canonical(polygons(stitch(edges), least_hole))
+        leaves, enters = np.sort(_packed(edges[:, 0], edges[:, 1])), np.sort(_packed(edges[:, 2], edges[:, 3]))
+        clean = bool((leaves == enters).all() and (pdf["times"] == 1).all())
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "geometry": [to_wkb(shape)], "area_km2": [geodesic_area_km2(shape)], "parts": [len(shape)], "is_clean": [clean]})
 
     schema = T.StructType([border.schema[key], *SHAPE.fields])
     return border.groupBy(key).applyInPandas(run, schema)
