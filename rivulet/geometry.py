@@ -185,6 +185,40 @@ def geodesic_area_km2(shape) -> float:
 _NODES, _WEIGHTS = np.polynomial.legendre.leggauss(16)
 
 
+def _auxiliary(lon: np.ndarray, lat1: np.ndarray, lat2: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Vincenty's iteration: reduced latitudes, longitude and arc on the auxiliary sphere, azimuth at the equator."""
+    b1, b2 = np.arctan((1 - FLAT) * np.tan(lat1)), np.arctan((1 - FLAT) * np.tan(lat2))
+    omega = lon.copy()
+    for _ in range(100):
+        s, c = np.sin(omega), np.cos(omega)
+        sin_sigma = np.hypot(np.cos(b2) * s, np.cos(b1) * np.sin(b2) - np.sin(b1) * np.cos(b2) * c)
+        cos_sigma = np.sin(b1) * np.sin(b2) + np.cos(b1) * np.cos(b2) * c
+        sigma = np.arctan2(sin_sigma, cos_sigma)
+        sin_a0 = np.cos(b1) * np.cos(b2) * s / np.where(sin_sigma == 0, 1, sin_sigma)
+        cos2 = np.maximum(1 - sin_a0**2, 0)
+        mid = np.where(cos2 > 1e-15, cos_sigma - 2 * np.sin(b1) * np.sin(b2) / np.where(cos2 > 1e-15, cos2, 1), 0.0)
+        k = FLAT / 16 * cos2 * (4 + FLAT * (4 - 3 * cos2))
+        after = lon + (1 - k) * FLAT * sin_a0 * (sigma + k * sin_sigma * (mid + k * cos_sigma * (2 * mid**2 - 1)))
+        moved = np.abs(after - omega).max(initial=0)
+        omega = after
+        if moved < 1e-14:
+            break
+    return b1, b2, omega, sigma, sin_a0, cos2, mid
+
+
+def geodesic_distance_m(lon1, lat1, lon2, lat2) -> np.ndarray:
+    """Metres along the geodesic of points in degrees; not for nearly antipodal ones, where the iteration may not settle."""
+    x1, y1, x2, y2 = (np.radians(np.asarray(v, float)) for v in (lon1, lat1, lon2, lat2))
+    _, _, _, sigma, _, cos2, mid = _auxiliary((x2 - x1 + np.pi) % (2 * np.pi) - np.pi, y1, y2)
+    b = A * (1 - FLAT)
+    u = cos2 * (A * A - b * b) / (b * b)
+    big = 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u)))
+    small = u / 1024 * (256 + u * (-128 + u * (74 - 47 * u)))
+    s, c = np.sin(sigma), np.cos(sigma)
+    change = small * s * (mid + small / 4 * (c * (2 * mid**2 - 1) - small / 6 * mid * (4 * s**2 - 3) * (4 * mid**2 - 3)))
+    return b * big * (sigma - change)
+
+
 def _under(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Square metres between each geodesic edge and the equator, signed by its direction."""
     out = np.zeros(len(p))
@@ -197,22 +231,7 @@ def _under(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     b = A * (1 - FLAT)
     e2 = FLAT * (2 - FLAT)
     ep2 = e2 / (1 - e2)
-    b1, b2 = np.arctan((1 - FLAT) * np.tan(lat1)), np.arctan((1 - FLAT) * np.tan(lat2))
-    omega = lon.copy()
-    for _ in range(50):  # Vincenty's iteration for the longitude on the auxiliary sphere
-        s, c = np.sin(omega), np.cos(omega)
-        sin_sigma = np.hypot(np.cos(b2) * s, np.cos(b1) * np.sin(b2) - np.sin(b1) * np.cos(b2) * c)
-        cos_sigma = np.sin(b1) * np.sin(b2) + np.cos(b1) * np.cos(b2) * c
-        sigma = np.arctan2(sin_sigma, cos_sigma)
-        sin_a0 = np.cos(b1) * np.cos(b2) * s / np.where(sin_sigma == 0, 1, sin_sigma)
-        cos2 = 1 - sin_a0**2
-        mid = np.where(cos2 > 1e-15, cos_sigma - 2 * np.sin(b1) * np.sin(b2) / np.where(cos2 > 1e-15, cos2, 1), 0.0)
-        k = FLAT / 16 * cos2 * (4 + FLAT * (4 - 3 * cos2))
-        after = lon + (1 - k) * FLAT * sin_a0 * (sigma + k * sin_sigma * (mid + k * cos_sigma * (2 * mid**2 - 1)))
-        if np.abs(after - omega).max() < 1e-14:
-            omega = after
-            break
-        omega = after
+    b1, b2, omega, sigma, sin_a0, cos2, _ = _auxiliary(lon, lat1, lat2)
     az1 = np.arctan2(np.cos(b2) * np.sin(omega), np.cos(b1) * np.sin(b2) - np.sin(b1) * np.cos(b2) * np.cos(omega))
     sigma1 = np.arctan2(np.sin(b1), np.cos(az1) * np.cos(b1))
     sigma2 = sigma1 + sigma
@@ -258,6 +277,29 @@ def dissolved(border: DataFrame, key: str, least_hole: float | None = None) -> D
     return border.groupBy(key).applyInPandas(run, schema)
 
 
+@F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in ("xmin", "ymin", "xmax", "ymax", "cx", "cy")]))
+def wkb_facts(wkb: pd.Series) -> pd.DataFrame:
+    """Bounds and area-weighted planar centroid of WKB polygons; nulls for null or empty ones."""
+
+    def facts(data) -> tuple[float | None, ...]:
+        shape = [] if data is None else from_wkb(bytes(data))
+        if not shape:
+            return (None,) * 6
+        points = np.concatenate([np.array(p[0]) for p in shape])
+        total, moment = 0.0, np.zeros(2)
+        for polygon in shape:
+            for i, ring in enumerate(polygon):
+                p = np.array(ring) - points[0]
+                cross = p[:-1, 0] * p[1:, 1] - p[1:, 0] * p[:-1, 1]
+                sign = (1 if i == 0 else -1) * np.sign(cross.sum())
+                total += sign * cross.sum() / 2
+                moment += sign * ((p[:-1] + p[1:]) * cross[:, None]).sum(axis=0) / 6
+        centre = points[0] + moment / total if total else points.mean(axis=0)
+        return (*points.min(axis=0), *points.max(axis=0), *centre)
+
+    return pd.DataFrame([facts(b) for b in wkb], columns=["xmin", "ymin", "xmax", "ymax", "cx", "cy"], dtype=float)
+
+
 @F.pandas_udf(T.StringType())
 def geojson_geometry(wkb: pd.Series) -> pd.Series:
     """GeoJSON text of WKB polygons; null stays null."""

@@ -26,6 +26,18 @@ def test_geodesic_area_goldens():
     assert math.isclose(geometry.geodesic_area_km2(holed), geometry.geodesic_area_km2([box(0, 0, 4, 4)]) - geometry.geodesic_area_km2([box(1, 1, 2, 2)]), rel_tol=1e-9)
 
 
+def test_geodesic_distance():
+    # a quarter of the equator and a meridian quadrant of WGS 84
+    got = geometry.geodesic_distance_m([0, 0, 10], [0, 0, 50], [90, 0, 10], [0, 90, 50])
+    assert np.allclose(got, [10018754.171394622, 10001965.729312, 0.0], atol=1e-3)
+
+
+def test_wkb_facts(spark):
+    shape = [[*box(0, 0, 4, 4), [(1, 1), (1, 3), (3, 3), (3, 1), (1, 1)]], box(10, 0, 12, 2)]
+    row = spark.createDataFrame([(geometry.to_wkb(shape),)], "g binary").select(geometry.wkb_facts("g").alias("f")).first().f
+    assert (row.xmin, row.ymin, row.xmax, row.ymax) == (0, 0, 12, 4) and math.isclose(row.cx, (2 * 12 + 11 * 4) / 16) and math.isclose(row.cy, (2 * 12 + 1 * 4) / 16)
+
+
 def test_wkb_round_trip():
     shape = [box(0, 0, 1, 1), [*box(2, 2, 5, 5), [(3.0, 3.0), (3.0, 4.0), (4.0, 4.0), (3.0, 3.0)]]]
     assert geometry.from_wkb(geometry.to_wkb(shape)) == [[[tuple(map(float, p)) for p in r] for r in s] for s in shape]
