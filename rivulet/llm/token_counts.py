@@ -5,7 +5,8 @@ transducer over a text's characters. Its states are "at a piece's border" and, f
 piece of text that the pattern can cut, the prefixes read so far; a transition carries how many
 more tokens the prefix emits, so the sum along a piece's path is the piece's token count. Paths
 are compiled when first met and kept path-compressed: one transition from border to border for
-a whole piece, annotated with its count. A literal special token is one transition of count 1.
+a whole piece, and one for a whole stretch between places where all states merge, annotated with
+its count. A literal special token is one transition of count 1.
 
 A long text is cut into chunks and every chunk becomes a state map. Where a letter or digit
 follows a single space that follows a visible character, the pattern cuts before the space
@@ -32,8 +33,12 @@ from rivulet.llm.common import materialize, text_or_empty
 
 #: The splitting pattern of byte-level BPE (a fixed value of the format).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Pieces whose counts a worker keeps at once; beyond that it begins anew, with the same results.
-KEPT_PIECES = 400_000
+#: Stretches (and pieces) whose counts a worker keeps at once; beyond that it begins anew, with the same results.
+KEPT_PIECES = 600_000
+#: The rank of a pair that no merge joins.
+NEVER = 1 << 60
+#: Characters learnt at once.
+LEARNT = 1 << 21
 #: Characters of a chunk, and chunk maps composed at once.
 CHUNK, FAN = 1 << 16, 16
 
@@ -55,34 +60,33 @@ class Transducer:
             spec = json.load(f)
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
         self.ranks = {pair: i for i, pair in enumerate(merges)}
-        self.letters = byte_alphabet()
+        self.letters = str.maketrans({chr(b): c for b, c in byte_alphabet().items()})
         self.pieces = regex.compile(PATTERN)
         # a place where any state leads to the same: visible character, one space, letter or digit
         self.merging = regex.compile(r"(?<=\S) (?=[\p{L}\p{N}])")
         self.specials = [t["content"] for t in spec.get("added_tokens", []) if t["special"]]
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
         self.longest_special = max(map(len, self.specials), default=0)
+        self.letter, self.blank = regex.compile(r"[\p{L}\p{N}]"), regex.compile(r"\s")
+        self.pair_keys = None
         self.paths: dict[str, int] = {}
+        self.stretches: dict[str, int] = {}
 
     def compile_path(self, piece: str) -> int:
         """Tokens of one piece: merge its pair of least rank until none has a rank."""
-        parts = [self.letters[b] for b in piece.encode("utf-8")]
+        parts = list(piece.encode("utf-8").decode("latin-1").translate(self.letters))
         if len(parts) > 256:
             return self._long_path(parts)
-        while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda i: self.ranks.get((parts[i], parts[i + 1]), 1 << 60))
-            pair = (parts[best], parts[best + 1])
-            if pair not in self.ranks:
-                break
-            out, i = [], 0
-            while i < len(parts):
-                if i + 1 < len(parts) and parts[i] == pair[0] and parts[i + 1] == pair[1]:
-                    out.append(parts[i] + parts[i + 1])
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
+        rank, never = self.ranks.get, NEVER
+        ranks = [rank(pair, never) for pair in zip(parts, parts[1:], strict=False)]
+        while ranks and (least := min(ranks)) < never:
+            i = ranks.index(least)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank((parts[i - 1], parts[i]), never)
+            if i < len(ranks):
+                ranks[i] = rank((parts[i], parts[i + 1]), never)
         return len(parts)
 
     def _long_path(self, parts: list[str]) -> int:
@@ -109,8 +113,107 @@ class Transducer:
                     heapq.heappush(heap, (r, x, parts[x], parts[y]))
         return left
 
-    def plain(self, text: str) -> int:
-        """Tokens of a text without special tokens, from border to border."""
+    def _pair_table(self) -> None:
+        """Ranks of pairs of token numbers by open addressing, for :meth:`compile_paths`."""
+        import numpy as np
+
+        number = {self.letters[b]: b for b in range(256)}
+        for a, b in self.ranks:
+            number.setdefault(a + b, len(number))
+        self.merged = np.array([number[a + b] for a, b in self.ranks], np.int64)
+        keys = np.array([number[a] << 32 | number[b] for a, b in self.ranks], np.int64)
+        self.slots = max(10, 2 + int(np.ceil(np.log2(len(keys) + 1))))
+        self.pair_keys, self.pair_ranks = np.full(1 << self.slots, -1, np.int64), np.full(1 << self.slots, NEVER, np.int64)
+        left, at = np.arange(len(keys)), self._slot(keys)
+        self.probes = 0
+        while len(left):
+            free = self.pair_keys[at] < 0
+            self.pair_keys[at[free]] = keys[left[free]]  # of several for one slot the last stays
+            won = self.pair_keys[at] == keys[left]
+            self.pair_ranks[at[won]] = left[won]
+            left, at = left[~won], (at[~won] + 1) & ((1 << self.slots) - 1)
+            self.probes += 1
+
+    def _slot(self, keys):
+        import numpy as np
+
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.slots)).astype(np.int64)
+
+    def _pair_ranks(self, a, b):
+        import numpy as np
+
+        keys = a << 32 | b
+        at = self._slot(keys)
+        out = np.full(len(keys), NEVER, np.int64)
+        for _ in range(self.probes):
+            found = self.pair_keys[at]
+            hit = found == keys
+            out[hit] = self.pair_ranks[at[hit]]
+            if (hit | (found < 0)).all():
+                break
+            at = (at + 1) & ((1 << self.slots) - 1)
+        return out
+
+    def compile_paths(self, pieces: list[str]) -> list[int]:
+        """:meth:`compile_path` of many pieces at once: in each round every piece merges its pair of least rank."""
+        import numpy as np
+
+        if self.pair_keys is None:
+            self._pair_table()
+        raw = [p.encode("utf-8") for p in pieces]
+        sizes = np.array([len(r) for r in raw])
+        counts = sizes.copy()
+        for low, high in ((0, 8), (8, 12), (12, 16), (16, 24), (24, 40)):
+            group = np.flatnonzero((sizes > low) & (sizes <= high) & (sizes > 1))
+            if not len(group):
+                continue
+            n = sizes[group]
+            ids = np.frombuffer(b"".join(raw[i].ljust(high, b"\0") for i in group), np.uint8).reshape(-1, high).astype(np.int64)
+            columns = np.arange(high)
+            ranks = np.full(ids.shape, NEVER, np.int64)
+            r, c = np.nonzero(columns < (n - 1)[:, None])
+            ranks[r, c] = self._pair_ranks(ids[r, c], ids[r, c + 1])
+            rows = np.arange(len(group))
+            while len(rows):
+                at = ranks.argmin(axis=1)
+                least = ranks[np.arange(len(rows)), at]
+                some = least < NEVER
+                counts[group[rows[~some]]] = n[~some]
+                rows, ids, ranks, at, least, n = rows[some], ids[some], ranks[some], at[some], least[some], n[some] - 1
+                if not len(rows):
+                    break
+                each = np.arange(len(rows))
+                source = np.minimum(columns + (columns > at[:, None]), high - 1)
+                ids, ranks = np.take_along_axis(ids, source, 1), np.take_along_axis(ranks, source, 1)
+                ids[each, at] = self.merged[least]
+                ranks[:, -1] = NEVER
+                for here in (at - 1, at):
+                    ranks[each, np.maximum(here, 0)] = np.where(here >= 0, NEVER, ranks[each, np.maximum(here, 0)])
+                    good = np.flatnonzero((here >= 0) & (here < n - 1))
+                    ranks[good, here[good]] = self._pair_ranks(ids[good, here[good]], ids[good, here[good] + 1])
+        for i in np.flatnonzero(sizes > 40):
+            counts[i] = self.compile_path(pieces[i])
+        return counts.tolist()
+
+    def learn(self, texts: list[str]) -> None:
+        """Compile the stretches of a batch that aren't known yet, all at once."""
+        new = {p for t in texts for p in t.split(" ")}
+        new = [p for p in new if len(p) <= 64 and p not in self.stretches]
+        if len(self.stretches) + len(new) > KEPT_PIECES:
+            self.stretches.clear()
+        wanted, pieces, codes = [], [], []
+        for part in new:
+            opens, closes = self.letter.match(part) is not None, part != "" and self.blank.match(part[-1]) is None
+            codes.append(2 * opens + closes)
+            cut = self.pieces.findall(" " + part) if opens and closes else []
+            wanted.append(len(cut))
+            pieces += cut
+        counts = iter(self.compile_paths(pieces)) if pieces else iter(())
+        for part, code, n in zip(new, codes, wanted, strict=True):
+            self.stretches[part] = code + 4 * sum(next(counts) for _ in range(n))
+
+    def run(self, text: str) -> int:
+        """Tokens of a text without special tokens, piece by piece from border to border."""
         paths, total = self.paths, 0
         for piece in self.pieces.findall(text):
             try:
@@ -124,6 +227,44 @@ class Transducer:
                 total += n
         return total
 
+    def stretch(self, part: str) -> int:
+        """Of a blank-free part: 4 * tokens of a blank and it, + 2 if it begins at a merging place after
+        a visible character, + 1 if it ends in one. Only with both does the count stand alone."""
+        opens, closes = self.letter.match(part) is not None, part != "" and self.blank.match(part[-1]) is None
+        code = 2 * opens + closes
+        if opens and closes:
+            pieces = self.pieces.findall(" " + part)
+            code += 4 * (self.compile_path(pieces[0]) if len(pieces) == 1 else self.run(" " + part))
+        if len(part) <= 64:
+            if len(self.stretches) >= KEPT_PIECES:
+                self.stretches.clear()
+            self.stretches[part] = code
+        return code
+
+    def plain(self, text: str) -> int:
+        """Tokens of a text without special tokens: transitions from merging place to merging place.
+
+        Between blanks most parts stand alone; their counts are looked up. Where one doesn't, parts
+        are joined up to the next merging place and run piece by piece.
+        """
+        first, *parts = text.split(" ")
+        known, total = self.stretches.get, 0
+        held, code, lead = [first], 0, ""
+        visible = first != "" and self.blank.match(first[-1]) is None
+        for part in parts:
+            now = known(part)
+            if now is None:
+                now = self.stretch(part)
+            if now & 2 and visible:
+                total += code >> 2 if code else self.run(lead + " ".join(held))
+                held, lead = [part], " "
+                code = now if now & 1 else 0
+            else:
+                held.append(part)
+                code = 0
+            visible = now & 1
+        return total + (code >> 2 if code else self.run(lead + " ".join(held)))
+
     def count(self, text: str) -> int:
         if self.special is None or not any(s in text for s in self.specials):
             return self.plain(text)
@@ -173,13 +314,29 @@ def transducer(path: str) -> Transducer:
     return Transducer(path)
 
 
+def _by_size(texts: list[str]) -> Iterator[list[str]]:
+    """Runs of texts of about LEARNT characters."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        if size > LEARNT:
+            yield held
+            held, size = [], 0
+    yield held
+
+
 def _count(path: str):
     def run(batches) -> Iterator:
         import pyarrow as pa
 
         t = transducer(path)
         for batch in batches:
-            counts = [t.count(x or "") for x in batch.column(batch.num_columns - 1).to_pylist()] if batch.num_rows else []
+            counts: list[int] = []
+            texts = [x or "" for x in batch.column(batch.num_columns - 1).to_pylist()]
+            for part in _by_size(texts):
+                t.learn(part)
+                counts += map(t.count, part)
             columns = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64())], names=[*batch.schema.names[:-1], "n_tokens"])
 
