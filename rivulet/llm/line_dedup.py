@@ -35,6 +35,11 @@ def _leaf(parts: Column) -> Column:
     return F.when(F.size(parts) >= LEAST_TOKENS, F.xxhash64(F.size(parts), leading))
 
 
+def _leaves(lines: Column) -> Column:
+    """Each line's leaf; the inner transform parts a line into tokens once."""
+    return F.transform(F.transform(lines, tokens), _leaf)
+
+
 def drop_recurring_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_docs: int = LEAST_DOCS) -> DataFrame:
     """``docs`` with ``text`` less its recurring lines, ``n_lines`` before and ``n_dropped``.
 
@@ -44,13 +49,15 @@ def drop_recurring_lines(docs: DataFrame, id_column: str = "doc_id", text_column
     count and come back each. Columns named ``n_lines`` or ``n_dropped`` are replaced.
     """
     lines = F.split(text_or_empty(text_column), "\n", -1)
-    leaves = F.array_compact(F.array_distinct(F.transform(lines, lambda x: _leaf(tokens(x)))))
+    leaves = F.array_compact(F.array_distinct(_leaves(lines)))
     frequent = docs.select(F.explode(leaves).alias("leaf")).groupBy("leaf").agg(F.count(F.lit(1)).alias("leaf_docs")).filter(F.col("leaf_docs") >= least_docs)
     frequent = checked_broadcast(materialize(frequent))
 
     # each document's different lines in leaves that could hold a recurring template
-    exploded = docs.select(F.monotonically_increasing_id().alias("row"), F.xxhash64(F.col(id_column), text_key(text_column)).alias("doc"), F.explode(F.array_distinct(lines)).alias("line"))
-    held = exploded.withColumn("leaf", _leaf(tokens(F.col("line")))).join(frequent, "leaf").select("row", "doc", "leaf", "leaf_docs", "line", F.xxhash64("line").alias("hash"))
+    # (a row's number and digest are computed below the generator: beside it they would be computed for every line)
+    parted = docs.select(F.monotonically_increasing_id().alias("row"), F.xxhash64(F.col(id_column), text_key(text_column)).alias("doc"), F.array_distinct(lines).alias("line"))
+    exploded = parted.select("row", "doc", F.arrays_zip("line", _leaves(F.col("line")).alias("leaf")).alias("each")).select("row", "doc", F.inline("each"))
+    held = exploded.join(frequent, "leaf").select("row", "doc", "leaf", "leaf_docs", "line", F.xxhash64("line").alias("hash"))
     held = materialize(held)
     kinds = materialize(held.groupBy("hash", "leaf", "leaf_docs", "line").agg(F.count(F.lit(1)).alias("docs")))
 

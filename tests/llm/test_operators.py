@@ -86,6 +86,18 @@ def test_templates_need_constant_tokens(spark):
     assert line_dedup.drop_recurring_lines(spark.createDataFrame(docs, "doc_id long, text string")).agg(F.sum("n_dropped")).first()[0] == 0
 
 
+def test_templates_recur_across_rows_not_within_one(spark):
+    def lines(doc):
+        return "\n".join(f"reading of the gauge number {doc}{i} is final" for i in range(6))
+
+    # rows 2 to 4 share the leaf (tokens and leading ones) but not the template
+    others = [(d, f"reading of the alder{'abc'[d - 2]} birch{'abc'[d - 2]} cedar{'abc'[d - 2]} fir{'abc'[d - 2]} oak{'abc'[d - 2]}") for d in (2, 3, 4)]
+    one = line_dedup.drop_recurring_lines(spark.createDataFrame([(1, lines(1)), *others], "doc_id long, text string"))
+    assert {(r.doc_id, r.n_dropped) for r in one.collect()} == {(1, 0), (2, 0), (3, 0), (4, 0)}
+    four = line_dedup.drop_recurring_lines(spark.createDataFrame([(d, lines(d)) for d in range(4)], "doc_id long, text string"))
+    assert {r.n_dropped for r in four.collect()} == {6}
+
+
 def test_line_dedup_awkward(spark):
     out = line_dedup.drop_recurring_lines(awkward(spark)).collect()
     assert len(out) == 13 and all((r.text is None) == (r.n_lines == 0) for r in out)
