@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from rivulet.llm.common import checked_broadcast, materialize, text_key, text_or_empty
 
-#: Leading tokens of a leaf, least tokens of a line that may be dropped, documents it must recur in.
+#: Leading tokens of a leaf, least tokens of a line that a template may drop, documents a line must recur in.
 LEADING, LEAST_TOKENS, LEAST_DOCS = 3, 4, 4
 #: Part of a template's tokens that must be constant, and of a leaf's lines that makes a token so.
 CONSTANT, SUPPORT = 0.6, 0.05
@@ -32,7 +32,9 @@ def masked(token: Column) -> Column:
 
 def _leaf(parts: Column) -> Column:
     leading = F.array_join(F.transform(F.slice(parts, 1, LEADING), masked), " ")
-    return F.when(F.size(parts) >= LEAST_TOKENS, F.xxhash64(F.size(parts), leading))
+    # a line too short for a template is dropped as it is alone, so its leaf holds its very tokens
+    short = F.when(F.exists(parts, lambda token: token != ""), F.xxhash64(F.size(parts), F.array_join(parts, " ")))
+    return F.when(F.size(parts) >= LEAST_TOKENS, F.xxhash64(F.size(parts), leading)).otherwise(short)
 
 
 def _leaves(lines: Column) -> Column:
@@ -43,10 +45,10 @@ def _leaves(lines: Column) -> Column:
 def drop_recurring_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_docs: int = LEAST_DOCS) -> DataFrame:
     """``docs`` with ``text`` less its recurring lines, ``n_lines`` before and ``n_dropped``.
 
-    Lines are parted by a newline; those of fewer than LEAST_TOKENS blank-parted tokens always
-    stay. A line goes if ``least_docs`` rows hold it, or hold lines of its template. Null texts
-    stay null and have no lines, empty ones have one; a text may become empty. Repeated rows
-    count and come back each. Columns named ``n_lines`` or ``n_dropped`` are replaced.
+    Lines are parted by a newline; blank ones always stay. A line goes if ``least_docs`` rows hold
+    it, however short it is, or hold lines of its template, if it has LEAST_TOKENS blank-parted
+    tokens. Null texts stay null and have no lines, empty ones have one; a text may become empty.
+    Repeated rows count and come back each. Columns named ``n_lines`` or ``n_dropped`` are replaced.
     """
     lines = F.split(text_or_empty(text_column), "\n", -1)
     leaves = F.array_compact(F.array_distinct(_leaves(lines)))
@@ -62,12 +64,13 @@ def drop_recurring_lines(docs: DataFrame, id_column: str = "doc_id", text_column
     kinds = materialize(held.groupBy("hash", "leaf", "leaf_docs", "line").agg(F.count(F.lit(1)).alias("docs")))
 
     # a leaf's tokens by place: frequent ones are constant, the others variable
-    placed = kinds.select("hash", "leaf", "leaf_docs", "docs", F.posexplode(tokens(F.col("line"))).alias("at", "token")).filter(~F.col("token").rlike("[0-9]"))
+    long = kinds.filter(F.size(tokens(F.col("line"))) >= LEAST_TOKENS)
+    placed = long.select("hash", "leaf", "leaf_docs", "docs", F.posexplode(tokens(F.col("line"))).alias("at", "token")).filter(~F.col("token").rlike("[0-9]"))
     placed = placed.select("hash", "leaf", "leaf_docs", "docs", F.xxhash64("leaf", "at", "token").alias("cell"))
     enough = F.greatest(F.lit(least_docs), F.ceil(F.col("leaf_docs") * SUPPORT))
     constant = placed.groupBy("cell", "leaf_docs").agg(F.sum("docs").alias("n")).filter(F.col("n") >= enough).select("cell")
     template = placed.join(constant, "cell").groupBy("hash", "leaf").agg(F.count(F.lit(1)).alias("kept"), F.bit_xor("cell").alias("cells"))
-    generalised = kinds.join(template, ["hash", "leaf"]).filter(F.col("kept") >= F.lit(CONSTANT) * F.size(tokens(F.col("line"))))
+    generalised = long.join(template, ["hash", "leaf"]).filter(F.col("kept") >= F.lit(CONSTANT) * F.size(tokens(F.col("line"))))
     generalised = materialize(generalised.select("hash", F.xxhash64("leaf", "cells").alias("template")))
     in_docs = held.select("row", "hash").join(generalised, "hash").select("row", "template").distinct()
     recurring = in_docs.groupBy("template").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_docs)

@@ -98,6 +98,15 @@ def test_templates_recur_across_rows_not_within_one(spark):
     assert {r.n_dropped for r in four.collect()} == {6}
 
 
+def test_short_lines_and_lines_without_blanks_are_dropped(spark):
+    recurring = ["All rights reserved.", "Share", "第12页版权所有未经许可不得转载", " - -", "Page 7"]
+    docs = [(d, "\n".join([f"alone{d}", *recurring, "", "\t ", f"Page 1{d}", "rare line" if d < 3 else "other line"])) for d in range(5)]
+    got = {r.doc_id: r for r in line_dedup.drop_recurring_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for d, _ in docs:
+        assert got[d].text == "\n".join([f"alone{d}", "", "\t ", f"Page 1{d}", "rare line" if d < 3 else "other line"])
+        assert (got[d].n_lines, got[d].n_dropped) == (10, 5)
+
+
 def test_line_dedup_awkward(spark):
     out = line_dedup.drop_recurring_lines(awkward(spark)).collect()
     assert len(out) == 13 and all((r.text is None) == (r.n_lines == 0) for r in out)
