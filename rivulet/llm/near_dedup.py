@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import GOLDEN, materialize, mix, normal_words, release, string_slices, text_key, window_hashes, word_hashes
+from rivulet.llm.common import GOLDEN, materialize, mix, normal_words, release, string_slices, text_key, text_or_empty, window_hashes, word_hashes
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -237,8 +237,8 @@ def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     Jaccard similarity over five-word shingles (lower-cased words; repeated shingles count as
     often as they occur) is at least ``similarity``. ``class_id`` is the least id of the class.
     ``is_kept`` marks one row of each class: least id, then least text key (null ids last).
-    Null, empty and wordless texts are never linked: each row is its own class with its own id
-    (null if that is null) and is kept. Texts of one to four words are one shingle. Repeated
+    Texts without a word are linked to equal texts alone. Null and empty texts are never linked:
+    each row is its own class with its own id (null if that is null) and is kept. Texts of one to four words are one shingle. Repeated
     rows fall into one class and one of them is kept. Columns besides id and text are ignored.
     """
     spark = docs.sparkSession
@@ -247,7 +247,8 @@ def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     schema = "id long, key binary, bands array<long>"
     rows = materialize(base.mapInArrow(_bands(BANDS, BAND_ROWS), schema).withColumn("row", F.monotonically_increasing_id()))
     wordy = rows.filter(F.size("bands") > 0)
-    texts = materialize(wordy.groupBy("key").agg(F.min("row").alias("node"), F.min("id").alias("least_id"), F.count(F.lit(1)).alias("copies")))
+    filled = F.col("key") != text_key(F.lit(""))  # neither null nor empty, with words or without
+    texts = materialize(rows.filter(filled).groupBy("key").agg(F.min("row").alias("node"), F.min("id").alias("least_id"), F.count(F.lit(1)).alias("copies")))
 
     # bands in which different texts meet
     reps = wordy.join(texts.select("key", "node"), "key").filter(F.col("row") == F.col("node"))
@@ -300,8 +301,8 @@ def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     first = F.min(F.struct(F.col("least_id").isNull().alias("none"), "least_id", "key"))
     classes = labelled.groupBy("root").agg(first.alias("first"), F.sum("copies").alias("class_size"))
     by_text = labelled.select("key", "root").join(classes, "root").select("key", F.col("first.least_id").alias("class_id"), "class_size", F.col("first.key").alias("kept_key"))
-    found = rows.select("id", "key", "row", (F.size("bands") > 0).alias("wordy")).join(by_text, "key", "left")
-    alone = ~F.col("wordy")
+    found = rows.select("id", "key", "row").join(by_text, "key", "left")
+    alone = ~filled
     at_first = (F.col("key") == F.col("kept_key")) & F.col("id").eqNullSafe(F.col("class_id"))
     return found.select(
         F.col("id").alias(id_column),
@@ -318,6 +319,6 @@ def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column
     kept = near_classes(docs, id_column, text_column).filter("is_kept").select(F.col("text_key").alias("_near_key"), F.col(id_column).alias("_near_id")).distinct()
     left = docs.withColumn("_near_row", key)
     joined = left.join(kept, (F.col("_near_row") == F.col("_near_key")) & left[id_column].cast("long").eqNullSafe(F.col("_near_id")), "left_semi")
-    wordless = normal_words(text_column) == ""
+    blank = text_or_empty(text_column) == ""
     again = Window.partitionBy("_near_row", F.coalesce(F.col(id_column).cast("long"), F.lit(0)), F.col(id_column).isNull()).orderBy(F.lit(1))
-    return joined.withColumn("_near_n", F.row_number().over(again)).filter((F.col("_near_n") == 1) | wordless).drop("_near_row", "_near_n")
+    return joined.withColumn("_near_n", F.row_number().over(again)).filter((F.col("_near_n") == 1) | blank).drop("_near_row", "_near_n")

@@ -101,6 +101,15 @@ def test_awkward_rows(spark):
     assert N.near_classes(empty(spark)).count() == 0 and N.drop_near_duplicates(empty(spark)).count() == 0
 
 
+def test_equal_texts_without_words_are_one_class(spark):
+    texts = ["-----"] * 5 + ["\U0001f600 \U0001f600"] * 3 + ["---- -"] + [""] * 2 + [None] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.class_size, r.is_kept) for r in N.near_classes(docs).collect()}
+    want = {i: (0, 5, i == 0) for i in range(5)} | {i: (5, 3, i == 5) for i in range(5, 8)}
+    assert got == want | {i: (i, 1, True) for i in range(8, 13)}
+    assert sorted(r.doc_id for r in N.drop_near_duplicates(docs.union(docs.limit(1))).collect()) == [0, 5, 8, 9, 10, 11, 12]
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in N.connected_components(edges).collect()}
