@@ -98,6 +98,19 @@ def test_templates_recur_across_rows_not_within_one(spark):
     assert {r.n_dropped for r in four.collect()} == {6}
 
 
+def test_templates_are_found_however_large_their_leaf(spark):
+    rng = random.Random(10)
+    name = lambda: "".join(rng.choices("abcdefgh", k=6))
+    names = [name() for _ in range(12)]
+    # 30 templates of 6 rows in one leaf: dates, times and numbers lead all their lines
+    docs = [(100 * t + i, f"{i}-1-2 1:{i} {t}{i} event{chr(97 + t % 26)}{'xy'[t // 26]} was seen by {names[(t + i) % 12]} over there") for t in range(30) for i in range(6)]
+    # a rare template whose field is frequent in the leaf, and lines that have no template
+    docs += [(9000 + i, f"{i}-1-2 1:{i} 7{i} engine had been by {names[i]} over there") for i in range(4)]
+    docs += [(9100 + i, f"{i}-1-2 1:{i} 8{i} {name()} {name()} {name()} {name()} {name()} {name()} {name()}") for i in range(20)]
+    got = {r.doc_id: r.n_dropped for r in line_dedup.drop_recurring_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {d: int(d < 9100) for d, _ in docs}
+
+
 def test_short_lines_and_lines_without_blanks_are_dropped(spark):
     recurring = ["All rights reserved.", "Share", "第12页版权所有未经许可不得转载", " - -", "Page 7"]
     docs = [(d, "\n".join([f"alone{d}", *recurring, "", "\t ", f"Page 1{d}", "rare line" if d < 3 else "other line"])) for d in range(5)]
