@@ -7,13 +7,14 @@ overlap. The plane is cut into unit cells; a text throws the darts of its own ce
 below theta = t / weight, about t darts however long it is, each dart falls into one of k
 coordinates, and each coordinate keeps its earliest dart. Two signatures agree in a coordinate
 with the probability of their weighted Jaccard similarity. Coordinates are joined in bands;
-what meets in a band is verified exactly on the shingles themselves.
-
-Bands aren't expanded into pairs: a round verifies every member of a band against one pivot only
-(the member that meets most others), links are contracted to components, and only bands whose
-members still lie in different components go on. When rounds no longer join much, the texts left
-are compared exactly in blocks of two chunks, by matrix products. So every two texts that meet in
-a band are either compared or already joined by verified links, and rows stay linear.
+what meets in a band is verified exactly on the 64-bit hashes of all its shingles.
+
+Bands aren't expanded into pairs at first: a round verifies every member of a band against one
+pivot only (the member that meets most others), links are contracted to components, and only
+bands whose members still lie in different components go on. After PIVOT_ROUNDS of them small
+bands compare the pairs that are left, and in larger ones texts meet once more by the rarest
+elements of their sketches, which two texts of the similarity asked for must share. So every two
+texts that meet in a band are joined by verified links, compared, or proven not to be similar.
 """
 
 from __future__ import annotations
@@ -23,14 +24,15 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rivulet.llm.common import GOLDEN, materialize, mix, normal_words, release, string_slices, text_key, text_or_empty, window_hashes, word_hashes
+from rivulet.llm.common import GOLDEN, free_name, materialize, mix, normal_words, release, string_slices, text_key, text_or_empty, window_hashes, word_hashes
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 BANDS, BAND_ROWS = 32, 6
-#: Texts of a chunk that is compared with others as a block, and matrix columns held at once.
-CHUNK_TEXTS, BLOCK_COLUMNS = 256, 4096
+#: Rounds of one pivot a band, texts of a band whose remaining pairs are all compared, and what rounding may cost.
+PIVOT_ROUNDS, SMALL_BAND, SLACK = 3, 16, 1e-6
 
 
 def unit_elements(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,7 +138,8 @@ def _bands(bands: int, rows: int):
                 stops = np.append(0, np.cumsum(some * bands)).astype(np.int32)
                 part = batch.slice(row, n)
                 columns = [part.column(i) for i in range(part.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(stops, pa.array(flat))], names=[*part.schema.names[:-1], "bands"])
+                arrays = [*columns, pa.array(np.diff(begin), pa.int64()), pa.ListArray.from_arrays(stops, pa.array(flat))]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*part.schema.names[:-1], "size", "bands"])
 
     return run
 
@@ -148,8 +151,8 @@ def _sketches(batches) -> Iterator:
         for row, data, offsets in string_slices(batch.column("words")):
             elements, begin = unit_elements(data, offsets)
             part = batch.slice(row, len(begin) - 1)
-            ints = pa.array((elements >> np.uint64(32)).astype(np.uint32).view(np.int32))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(begin.astype(np.int32), ints)], names=["node", "sketch"])
+            longs = pa.array(elements.view(np.int64))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(begin.astype(np.int32), longs)], names=["node", "sketch"])
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -190,44 +193,40 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return materialize(roots.union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()).distinct())
 
 
-def _similar_in_block(similarity: float):
-    def run(rows):
-        import pandas as pd
-
-        node, root = rows["node"].to_numpy(), rows["root"].to_numpy()
-        sizes = np.array([len(x) for x in rows["sketch"]])
-        _, column = np.unique(np.concatenate(rows["sketch"].to_numpy()), return_inverse=True)
-        owner = np.repeat(np.arange(len(node)), sizes)
-        order = np.argsort(column, kind="stable")
-        column, owner = column[order], owner[order]
-        common = np.zeros((len(node), len(node)), np.float32)
-        for low in range(0, int(column[-1]) + 1, BLOCK_COLUMNS):
-            a, b = np.searchsorted(column, [low, low + BLOCK_COLUMNS])
-            held = np.zeros((len(node), BLOCK_COLUMNS), np.float32)
-            held[owner[a:b], column[a:b] - low] = 1
-            common += held @ held.T
-        enough = common >= similarity * (sizes[:, None] + sizes[None, :] - common)
-        x, y = np.nonzero(np.triu(enough, 1) & (root[:, None] != root[None, :]))
-        return pd.DataFrame({"a": np.minimum(node[x], node[y]), "b": np.maximum(node[x], node[y])})
+def _sizes_allow(a: str, b: str, similarity: float) -> Column:
+    """Whether sets of these sizes can have ``similarity``."""
+    return F.least(a, b) >= F.lit(similarity) * F.greatest(a, b) - F.lit(SLACK)
 
-    return run
+
+def _pairs(split: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): texts of different roots and like sizes that meet in a band (band, node, size, root), each pair once."""
+    names = {"node": "b", "root": "other_root", "size": "other_size"}
+    other = split.select("band", *[F.col(c).alias(n) for c, n in names.items()])
+    met = split.withColumnRenamed("node", "a").join(other, "band").filter((F.col("a") < F.col("b")) & (F.col("root") != F.col("other_root")))
+    return met.filter(_sizes_allow("size", "other_size", similarity)).select("a", "b").distinct()
 
 
-def _compare_blocks(still: DataFrame, home: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) between texts of different roots in bands (band, node, root), all compared exactly.
+def _prefix_pairs(split: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The pairs of :func:`_pairs` that may be similar enough, found without forming the others.
 
-    Texts are put in chunks of about CHUNK_TEXTS that share a home; two chunks that share a band
-    are compared as one block by a matrix product, so no pair of texts becomes a row unless it is a link.
+    A sketch's elements are put in the order of their rarity among these texts. Two sketches of
+    ``similarity`` s share one of the first (1 - s) * size + 1 elements of both, and the elements
+    after the first shared one must suffice for the overlap that s asks for. So texts meet in
+    (band, element) of such a prefix, and only where sizes and places leave enough.
     """
-    nodes = still.select("node", "root").distinct().join(home, "node")
-    parts = nodes.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / CHUNK_TEXTS).alias("parts"))
-    part = F.pmod(F.xxhash64("node"), F.col("parts"))
-    chunked = materialize(nodes.join(parts, "home").select("node", "root", F.struct("home", part.alias("part")).alias("chunk")))
-    by_band = still.join(chunked.select("node", "chunk"), "node").select("band", "chunk").distinct()
-    blocks = by_band.join(by_band.withColumnRenamed("chunk", "other"), "band").filter(F.col("chunk") <= F.col("other")).select("chunk", "other").distinct()
-    rows = blocks.select("chunk", "other", F.explode(F.array_distinct(F.array("chunk", "other"))).alias("_chunk"))
-    rows = rows.join(chunked.withColumnRenamed("chunk", "_chunk"), "_chunk").join(sketches.dropDuplicates(["node"]), "node")
-    return rows.groupBy("chunk", "other").applyInPandas(_similar_in_block(similarity), "a long, b long")
+    nodes = split.select("node").distinct()
+    elements = materialize(nodes.join(sketches, "node").select("node", F.size("sketch").alias("held"), F.explode("sketch").alias("element")))
+    shared = elements.groupBy("element").agg(F.count(F.lit(1)).alias("texts"))
+    by_rarity = Window.partitionBy("node").orderBy("texts", "element")
+    ranked = elements.join(shared, "element").withColumn("at", F.row_number().over(by_rarity))
+    prefix = ranked.filter((F.col("at") <= F.col("held") - F.ceil(F.col("held") * F.lit(similarity) - F.lit(SLACK)) + 1) & (F.col("texts") > 1))
+    prefix = materialize(split.join(prefix.select("node", "element", "at"), "node"))
+    names = {"node": "b", "root": "other_root", "size": "other_size", "at": "other_at"}
+    other = prefix.select("band", "element", *[F.col(c).alias(n) for c, n in names.items()])
+    met = prefix.withColumnRenamed("node", "a").join(other, ["band", "element"]).filter((F.col("a") < F.col("b")) & (F.col("root") != F.col("other_root")))
+    most = 1 + F.least(F.col("size") - F.col("at"), F.col("other_size") - F.col("other_at"))
+    need = (F.col("size") + F.col("other_size")) * F.lit(similarity / (1 + similarity)) - F.lit(SLACK)
+    return met.filter(most >= need).select("a", "b").distinct()
 
 
 def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -241,61 +240,60 @@ def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     each row is its own class with its own id (null if that is null) and is kept. Texts of one to four words are one shingle. Repeated
     rows fall into one class and one of them is kept. Columns besides id and text are ignored.
     """
-    spark = docs.sparkSession
-    words = normal_words(text_column)
-    base = docs.select(F.col(id_column).cast("long").alias("id"), text_key(text_column).alias("key"), words.alias("words"))
-    schema = "id long, key binary, bands array<long>"
+    id_type = docs.schema[id_column].dataType
+    base = docs.select(F.col(id_column).alias("id"), text_key(text_column).alias("key"), normal_words(text_column).alias("words"))
+    schema = T.StructType([T.StructField("id", id_type), T.StructField("key", T.BinaryType()), T.StructField("size", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
     rows = materialize(base.mapInArrow(_bands(BANDS, BAND_ROWS), schema).withColumn("row", F.monotonically_increasing_id()))
-    wordy = rows.filter(F.size("bands") > 0)
+    wordy = rows.filter("size > 0")
     filled = F.col("key") != text_key(F.lit(""))  # neither null nor empty, with words or without
-    texts = materialize(rows.filter(filled).groupBy("key").agg(F.min("row").alias("node"), F.min("id").alias("least_id"), F.count(F.lit(1)).alias("copies")))
+    same = rows.filter(filled).groupBy("key", "id").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("n"))
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "n")).alias("least")
+    texts = same.groupBy("key").agg(F.min("row").alias("node"), F.sum("n").alias("copies"), least)
+    texts = materialize(texts.select("key", "node", "copies", F.col("least.id").alias("least_id"), (F.col("least.n") > 1).alias("again")))
 
     # bands in which different texts meet
     reps = wordy.join(texts.select("key", "node"), "key").filter(F.col("row") == F.col("node"))
-    entries = reps.select("node", F.explode("bands").alias("band"))
+    entries = reps.select("node", "size", F.explode("bands").alias("band"))
     shared = entries.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = materialize(entries.join(shared, "band").select("band", "node", "n"))
+    met = materialize(entries.join(shared, "band").select("band", "node", "size", "n"))
     # the text that meets most others is the likeliest to be what the rest were copied from
     weights = met.groupBy("node").agg(F.sum("n").alias("weight"))
-    members = materialize(met.join(weights, "node").select("band", "node", "weight"))
+    still = members = materialize(met.join(weights, "node").select("band", "node", "size", "weight", F.col("node").alias("root")))
 
     # what verifies them: the (shingle, occurrence) hashes of every text that meets another
-    involved = members.select("node").distinct().join(texts.select("node", "key", "least_id"), "node")
-    wanted = base.join(involved, (base["key"] == involved["key"]) & base["id"].eqNullSafe(involved["least_id"])).select("node", "words")
-    sketches = materialize(wanted.mapInArrow(_sketches, "node long, sketch array<int>"))  # a repeated row's twice, which repeats links only
+    involved = members.select("node").distinct().join(texts.select("node", "key", "least_id", "again"), "node")
+    wanted = base.join(involved, (base["key"] == involved["key"]) & base["id"].eqNullSafe(involved["least_id"])).select("node", "words", "again")
+    wanted = wanted.filter("NOT again").union(wanted.filter("again").dropDuplicates(["node"])).select("node", "words")
+    sketches = materialize(wanted.mapInArrow(_sketches, "node long, sketch array<long>"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         left, right = (sketches.select(F.col("node").alias(x), F.col("sketch").alias(f"s{x}")) for x in "ab")
         both = F.size(F.array_intersect("sa", "sb"))
-        return pairs.join(left, "a").join(right, "b").filter(both >= F.lit(similarity) * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+        alike = both >= F.lit(similarity) * (F.size("sa") + F.size("sb") - both) - F.lit(SLACK)
+        return pairs.join(left, "a").join(right, "b").filter(alike).select("a", "b")
 
-    def pivots(rows: DataFrame) -> DataFrame:
-        central = F.max(F.struct("weight", "node", "root")).alias("p")
-        return rows.groupBy("band").agg(central).select("band", F.col("p.node").alias("pivot"), F.col("p.root").alias("pivot_root"))
+    def components(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+        return connected_components(links if roots is None else roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links))
 
-    still = members.withColumn("root", F.col("node"))
-    roots, tried, home = None, None, None
-    while True:
+    def split(members: DataFrame, roots: DataFrame) -> DataFrame:
+        """The members of bands that still lie in several components, and how many each such band has."""
+        labelled = members.drop("root", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        apart = labelled.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high")
+        return materialize(labelled.join(apart.select("band", "n"), "band"))
+
+    roots, tried = None, None
+    for _ in range(PIVOT_ROUNDS):
         waiting = still if tried is None else still.join(tried, ["band", "node"], "left_anti")
-        central = F.max(F.struct("weight", "node", "root")).alias("p")
-        pivots = materialize(waiting.groupBy("band").agg(central).select("band", F.col("p.node").alias("pivot"), F.col("p.root").alias("pivot_root"), F.col("p.weight").alias("pivot_weight")))
-        if home is None:  # texts that share their most central neighbour are likely to meet again
-            nearest = F.max(F.struct("pivot_weight", "pivot"))["pivot"].alias("home")
-            home = materialize(still.join(pivots, "band").groupBy("node").agg(nearest))
-        pairs = still.join(pivots, "band").filter(F.col("root") != F.col("pivot_root"))
-        fresh = materialize(verified(pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()))
-        tried = pivots.select("band", F.col("pivot").alias("node")) if tried is None else materialize(tried.union(pivots.select("band", "pivot")))
-        roots = connected_components(fresh if roots is None else roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(fresh))
-        labelled = still.drop("root").join(roots, "node", "left").select("band", "node", "weight", F.coalesce("root", "node").alias("root"))
-        split = labelled.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("band")
-        still = materialize(labelled.join(split, "band"))
-        left = still.select("node").distinct().count()
-        if not left:
-            break
-        if fresh.count() * 20 < left:  # pivots don't join much more: compare what is left in blocks
-            fresh = materialize(_compare_blocks(still, home, sketches, similarity))
-            roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(fresh))
-            break
+        central = F.max(F.struct("weight", "node", "size", "root")).alias("p")
+        pivots = materialize(waiting.groupBy("band").agg(central).select("band", *[F.col(f"p.{c}").alias(f"pivot_{c}") for c in ("node", "size", "root")]).withColumnRenamed("pivot_node", "pivot"))
+        pairs = still.join(pivots, "band").filter((F.col("root") != F.col("pivot_root")) & _sizes_allow("size", "pivot_size", similarity))
+        links = materialize(verified(pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()))
+        tried = pivots.select("band", F.col("pivot").alias("node")) if tried is None else tried.union(pivots.select("band", F.col("pivot").alias("node")))
+        roots = components(roots, links)
+        still = split(still, roots)
+    small, large = (still.filter(c).select("band", "node", "size", "root") for c in (F.col("n") <= SMALL_BAND, F.col("n") > SMALL_BAND))
+    links = materialize(verified(_pairs(small, similarity).union(_prefix_pairs(large, sketches, similarity)).distinct()))
+    roots = components(roots, links)
 
     labelled = texts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = F.min(F.struct(F.col("least_id").isNull().alias("none"), "least_id", "key"))
@@ -314,11 +312,16 @@ def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
 
 def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``docs`` with one row of each class of :func:`near_classes`, all columns as they were."""
-    key = text_key(text_column)
-    kept = near_classes(docs, id_column, text_column).filter("is_kept").select(F.col("text_key").alias("_near_key"), F.col(id_column).alias("_near_id")).distinct()
-    left = docs.withColumn("_near_row", key)
-    joined = left.join(kept, (F.col("_near_row") == F.col("_near_key")) & left[id_column].cast("long").eqNullSafe(F.col("_near_id")), "left_semi")
-    blank = text_or_empty(text_column) == ""
-    again = Window.partitionBy("_near_row", F.coalesce(F.col(id_column).cast("long"), F.lit(0)), F.col(id_column).isNull()).orderBy(F.lit(1))
-    return joined.withColumn("_near_n", F.row_number().over(again)).filter((F.col("_near_n") == 1) | blank).drop("_near_row", "_near_n")
+    """``docs`` with one row of each class of :func:`near_classes`, all columns as they were.
+
+    Null and empty texts all stay. Of rows that agree in id and text one stays, whichever: those
+    are made distinct before they meet. An empty table gives an empty one; extra columns don't matter.
+    """
+    key, row_id, again = (free_name(docs, c) for c in ("near_key", "near_id", "near_again"))
+    kept = near_classes(docs, id_column, text_column).filter("is_kept").groupBy(F.col("text_key").alias(key), F.col(id_column).alias(row_id)).agg((F.count(F.lit(1)) > 1).alias(again))
+    kept = kept.withColumn(again, F.col(again) & (F.col(key) != text_key(F.lit(""))))
+    left = docs.withColumn(f"{key}_of_row", text_key(text_column))
+    met = left.join(kept, (F.col(f"{key}_of_row") == F.col(key)) & left[id_column].eqNullSafe(F.col(row_id)))
+    once = met.filter(~F.col(again))
+    several = met.filter(again).dropDuplicates([key, row_id])
+    return once.union(several).select(*docs.columns)

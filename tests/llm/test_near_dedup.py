@@ -22,10 +22,11 @@ def brute(rows):
         return x
 
     bags = [shingles(t) for _, t in rows]
+    held = [{(s, k) for s, n in b.items() for k in range(n)} for b in bags]  # a shingle's occurrences are elements of their own
     for i in range(len(rows)):
         for j in range(i):
-            both, total = sum((bags[i] & bags[j]).values()), sum((bags[i] | bags[j]).values())
-            if bags[i] and bags[j] and both >= 0.8 * total:
+            both = len(held[i] & held[j])
+            if held[i] and held[j] and both >= 0.8 * (len(held[i]) + len(held[j]) - both):
                 parent[max(root(i), root(j))] = min(root(i), root(j))
     least = {}
     for i, (d, _) in enumerate(rows):
@@ -60,19 +61,33 @@ def test_classes_equal_brute_force(spark):
     assert got == brute(rows)
 
 
-def test_blocks_alone_find_the_links(spark):
+def test_prefixes_find_all_links_of_a_band(spark):
     rng = random.Random(9)
     hot = prose(rng, 120)
-    texts = [edited(rng, hot, rng.randint(1, 5)) for _ in range(150)]
+    texts = [edited(rng, hot, rng.randint(1, 5)) for _ in range(150)] + [edited(rng, hot, 1) + " " + prose(rng, k) for k in range(0, 30, 3)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     words = docs.select(docs.doc_id.alias("node"), N.normal_words("text").alias("words"))
-    sketches = words.mapInArrow(N._sketches, "node long, sketch array<int>").cache()
-    still = spark.createDataFrame([(1, i, i) for i in range(150)], "band long, node long, root long")
-    home = spark.createDataFrame([(i, 0) for i in range(150)], "node long, home long")
-    got = {(r.a, r.b) for r in N._compare_blocks(still, home, sketches, 0.8).collect()}
+    sketches = words.mapInArrow(N._sketches, "node long, sketch array<long>").cache()
+    split = sketches.selectExpr("1L AS band", "node", "CAST(size(sketch) AS long) AS size", "node AS root").cache()
     bags = [shingles(t) for t in texts]
-    want = {(i, j) for i in range(150) for j in range(i + 1, 150) if sum((bags[i] & bags[j]).values()) >= 0.8 * sum((bags[i] | bags[j]).values())}
-    assert got == want and want
+    alike = {}
+    for i, a in enumerate(bags):
+        for j in range(i + 1, len(bags)):
+            alike[i, j] = sum((a & bags[j]).values()) / sum((a | bags[j]).values())
+    want = {p for p, v in alike.items() if v >= 0.8}
+    some = {(r.a, r.b) for r in N._prefix_pairs(split, sketches, 0.8).collect()}
+    every = {(r.a, r.b) for r in N._pairs(split, 0.8).collect()}
+    assert want <= some < every and len(want) > 100
+    assert len(some) < 0.8 * len(every)
+
+
+def test_a_large_group_whose_pairs_are_mostly_no_links(spark):
+    rng = random.Random(4)
+    hot = prose(rng, 150)
+    texts = [edited(rng, hot, rng.randint(3, 7)) for _ in range(2000)] + [hot + " " + prose(rng, 90) for _ in range(200)]
+    rng.shuffle(texts)
+    got = {r.doc_id: r.class_id for r in N.near_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == brute(list(enumerate(texts)))
 
 
 def test_signatures_estimate_weighted_similarity():
