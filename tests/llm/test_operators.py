@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from tests.llm.data import awkward, empty, prose
 
-from rivulet.llm import decontaminate, line_dedup, mixing, quality, secret_scan, sharding, token_counts, top_k, url_filter
+from rivulet.llm import decontaminate, line_dedup, mixing, quality, secret_scan, sharding, top_k, url_filter
 
 
 def in_duckdb(sql, **tables):
@@ -293,28 +293,6 @@ def test_leaks_are_found_in_any_order(spark):
     assert decontaminate.contaminated(empty(spark), bench).count() == 0 and decontaminate.contaminated(df, bench.limit(0)).count() == 0
 
 
-# tokens
-
-
-def test_token_counts_equal_the_library(spark):
-    P = pytest.importorskip("public_tokenizers")
-    from tokenizers import Tokenizer
-
-    rng = random.Random(1)
-    alphabet = ["a", "the", "'s", "'ll", " ", "  ", "\n", "\t", "\x1c", "\x85", "\xa0", "é", "1", "٣", "½", "<|endoftext|>", "<|endo", "!", "中文", "\U0001f600", "́", "-", "\r\n", " word", " next"]
-    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 300))) for _ in range(200)]
-    texts += [r.text for r in awkward(spark).collect()]
-    path = P.path("byte_bpe_50k.json")
-    library = Tokenizer.from_file(path)
-    want = [len(library.encode(t or "", add_special_tokens=False).ids) for t in texts]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for chunk in (1 << 16, 37):
-        got = token_counts.token_counts(docs, path, chunk=chunk).orderBy("doc_id").collect()
-        assert [r.n_tokens for r in got] == want
-        assert [r.n_bytes for r in got] == [len((t or "").encode()) for t in texts]
-    assert token_counts.token_counts(docs.limit(0), path).count() == 0
-
-
 # quality
 
 
