@@ -1,10 +1,11 @@
 """Upstream closure of terminal units over the drainage graph.
 
 Trees are closed by doubling: after k rounds every terminal has its units up to 2**k steps away,
-from one table of exact 2**k-step links that never outgrows the graph (each unit has one
-downstream unit). DAGs are closed by frontier rounds, where a unit already seen from a terminal
-is dropped, so diamonds are walked once. Terminals are closed once however many outlets share
-one, and each round's tables are written to the shared folder.
+from tables of exact 2**k-step links that never outgrow the graph (each unit has one downstream
+unit). Those tables come first, so a cycle is found before anything is closed. DAGs are closed by
+frontier rounds, where a unit already seen from a terminal is dropped, so diamonds are walked
+once; each round appends its frontier to one table. Terminals are closed once however many outlets
+share one, and each round's tables are written to the shared folder.
 """
 
 from __future__ import annotations
@@ -13,50 +14,91 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rivulet.errors import TraversalError
-from rivulet.tables import written
+from rivulet.tables import new_path, written
 
 
 def upstream_closure(terminals: DataFrame, links: DataFrame, topology: str = "tree") -> DataFrame:
     """(terminal_id, unit_id), terminals included, for the distinct ``unit_id`` of ``terminals``."""
     start = terminals.select(F.col("unit_id").alias("terminal_id")).distinct().withColumn("unit_id", F.col("terminal_id"))
-    return _doubling(start, links) if topology == "tree" else _frontier(start, links)
+    return closed_forest(start, links) if topology == "tree" else _frontier(start, links)
 
 
-def _doubling(start: DataFrame, links: DataFrame) -> DataFrame:
+def closed_forest(start: DataFrame, links: DataFrame) -> DataFrame:
+    """``start`` (terminal_id, unit_id) and all that is upstream of its units, where each unit has one downstream at most."""
     jumps = links.select(F.col("id").alias("from_id"), F.col("upstream_id").alias("to_id"))
-    reached = written(start)
-    deepest, steps = links.count(), 1
+    most, steps, tables = links.count(), 1, []
     while True:
-        further = reached.join(jumps, reached["unit_id"] == jumps["from_id"]).select("terminal_id", F.col("to_id").alias("unit_id"))
-        more = written(further)
-        reached = reached.union(more)
+        tables.append(jumps)
         half = jumps.select(F.col("from_id").alias("a"), F.col("to_id").alias("b"))
         jumps = written(half.join(jumps, half["b"] == jumps["from_id"]).select(F.col("a").alias("from_id"), "to_id"))
         if not jumps.take(1):
-            return reached
+            break
         steps *= 2
-        if steps > deepest:
+        if steps > most:
             raise TraversalError("cycle", "the graph is declared a tree but a unit is upstream of itself")
+    reached = written(start)
+    for jumps in tables:
+        further = reached.join(jumps, reached["unit_id"] == jumps["from_id"]).select("terminal_id", F.col("to_id").alias("unit_id"))
+        reached = reached.union(written(further))
+    return reached
+
+
+def cycle_members(flows: DataFrame) -> DataFrame:
+    """(id, cycle_id) of what lies on a cycle of ``flows`` (id, to_id), in which each id has one row at most.
+
+    After as many steps as there are ids, every walk that hasn't ended is on its cycle, and every
+    member of a cycle is where one such walk is. ``cycle_id`` is the cycle's least id.
+    """
+    jumps = flows.select("id", "to_id")
+    most, steps = flows.count(), 1
+    while steps <= most:
+        half = jumps.select("id", F.col("to_id").alias("middle"))
+        jumps = written(half.join(jumps.withColumnRenamed("id", "middle"), "middle").select("id", "to_id"))
+        if not jumps.take(1):
+            break
+        steps *= 2
+    on = written(jumps.select(F.col("to_id").alias("id")).distinct())
+    around = on.join(flows, "id").select("id", "to_id", F.least("id", "to_id").alias("cycle_id"))
+    members, seen = on.count(), 1
+    while members and seen < members:  # each id learns the least of the next 2, 4, 8, ... around its cycle
+        ahead = around.select(F.col("id").alias("to_id"), F.col("to_id").alias("further"), F.col("cycle_id").alias("theirs"))
+        around = written(around.join(ahead, "to_id").select("id", F.col("further").alias("to_id"), F.least("cycle_id", "theirs").alias("cycle_id")))
+        seen *= 2
+    return around.select("id", "cycle_id")
 
 
 def _frontier(start: DataFrame, links: DataFrame) -> DataFrame:
-    reached = frontier = written(start)
+    spark = start.sparkSession
+    path, turn = new_path(spark), 0
+    frontier = start
+    schema = start.schema
     while True:
-        step = frontier.join(links, frontier["unit_id"] == links["id"]).select("terminal_id", F.col("upstream_id").alias("unit_id")).distinct()
-        frontier = written(step.join(reached, ["terminal_id", "unit_id"], "left_anti"))
+        frontier.write.parquet(f"{path}/turn={turn}")
+        frontier = spark.read.schema(schema).parquet(f"{path}/turn={turn}")
+        reached = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
         if not frontier.take(1):
             return reached
-        reached = written(reached.union(frontier))
+        step = frontier.join(links, frontier["unit_id"] == links["id"]).select("terminal_id", F.col("upstream_id").alias("unit_id")).distinct()
+        frontier, turn = step.join(reached, ["terminal_id", "unit_id"], "left_anti"), turn + 1
 
 
-def check_closure(closure: DataFrame, units: DataFrame) -> None:
-    """Raise if a terminal or an upstream unit isn't in ``units``, or a closure crosses levels."""
-    lost = closure.join(units.select(F.col("id").alias("unit_id")), "unit_id", "left_anti").limit(1).collect()
-    if lost:
-        kind = "terminal_not_found" if lost[0]["terminal_id"] == lost[0]["unit_id"] else "dangling_upstream_reference"
-        raise TraversalError(kind, f"unit {lost[0]['unit_id']} upstream of {lost[0]['terminal_id']} isn't in the units")
+def closure_faults(closure: DataFrame, units: DataFrame) -> DataFrame:
+    """(terminal_id, fault, faulty_unit) of each terminal whose closure can't be used: a unit of it isn't in ``units``
+    (``terminal_not_found``, ``dangling_upstream_reference``) or lies on another level than it (``level_crossing``)."""
     levels = units.select(F.col("id").alias("unit_id"), "level")
     own = units.select(F.col("id").alias("terminal_id"), F.col("level").alias("terminal_level"))
-    crossing = closure.join(levels, "unit_id").join(own, "terminal_id").filter("level <> terminal_level").limit(1).collect()
-    if crossing:
-        raise TraversalError("level_crossing", f"unit {crossing[0]['unit_id']} isn't on the level of {crossing[0]['terminal_id']}")
+    met = closure.join(levels, "unit_id", "left").join(own, "terminal_id", "left")
+    fault = (
+        F.when(F.col("terminal_level").isNull(), F.lit("terminal_not_found"))
+        .when(F.col("level").isNull(), F.lit("dangling_upstream_reference"))
+        .when(F.col("level") != F.col("terminal_level"), F.lit("level_crossing"))
+    )
+    bad = met.select("terminal_id", "unit_id", fault.alias("fault")).filter("fault IS NOT NULL")
+    return bad.groupBy("terminal_id").agg(F.min(F.struct("fault", "unit_id")).alias("f")).select("terminal_id", "f.fault", F.col("f.unit_id").alias("faulty_unit"))
+
+
+def check_closure(closure: DataFrame, units: DataFrame) -> None:
+    """Raise if a terminal or an upstream unit isn't in ``units``, or a closure crosses levels."""
+    bad = closure_faults(closure, units).limit(1).collect()
+    if bad:
+        raise TraversalError(bad[0]["fault"], f"unit {bad[0]['faulty_unit']} upstream of {bad[0]['terminal_id']}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -174,13 +175,13 @@ def resolution_labels(spark, sf_dir):
 
 # traversal
 
-_CLOSE = """+ closure AS (SELECT id AS terminal_id, id AS unit_id FROM units WHERE id % 7 = 1 UNION SELECT c.terminal_id, t.upstream_id FROM closure c JOIN {t} t ON t.id = c.unit_id)
+_CLOSE = """+ closure AS (SELECT id AS terminal_id, id AS unit_id FROM units UNION SELECT c.terminal_id, t.upstream_id FROM closure c JOIN {t} t ON t.id = c.unit_id)
 """
 
 
 def _closed(spark: SparkSession, sf_dir: str, dag: bool) -> tuple[Fabric, DataFrame]:
     f = synthetic_fabric(spark, sf_dir, dag)
-    return f, upstream_closure(f.units.filter("id % 7 = 1").select(F.col("id").alias("unit_id")), f.links, f.topology)
+    return f, upstream_closure(f.units.select(F.col("id").alias("unit_id")), f.links, f.topology)
 
 
 @query(_CLOSE.format(t="tree") + "SELECT terminal_id, unit_id FROM closure")
@@ -351,26 +352,30 @@ def d8_trace(spark, sf_dir):
 
 @query(
     _CELLS
-    + """, points AS (SELECT event_id AS point_id, (event_id * 13 % 200) / 10.0::DOUBLE AS prow, (event_id * 29 % 1000) / 10.0::DOUBLE AS pcol FROM events WHERE event_id < 300)
+    + """, points AS (SELECT event_id AS point_id, (event_id * 13 % 200) / 10.0::DOUBLE AS prow, (event_id * 29 % 1000) / 10.0::DOUBLE AS pcol FROM events)
 SELECT point_id, row, col, acc FROM points, cells WHERE acc >= 40
 QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY pow(row + 0.5 - prow, 2) + pow(col + 0.5 - pcol, 2), acc DESC, row, col) = 1""",
     fabric=False,
 )
 def raster_snap(spark, sf_dir):
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").filter("event_id < 300")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
     points = events.select(F.col("event_id").alias("point_id"), F.lit(0).alias("grid_id"), (F.col("event_id") * 13 % 200 / 10.0).alias("prow"), (F.col("event_id") * 29 % 1000 / 10.0).alias("pcol"))
     return raster.snapped(_cells(spark, sf_dir), points, 40.0).select("point_id", "row", "col", "acc")
 
 
 @query(
-    """+ grid AS (SELECT r.range AS row, c.range AS col, -20.0 + (c.range + 0.5) * 0.25::DOUBLE AS x, -5.0 + (r.range + 0.5) * -0.25::DOUBLE AS y FROM range(20) r, range(40) c),
-big AS (SELECT id, xmin - 0.17::DOUBLE AS xmin, ymin - 0.17::DOUBLE AS ymin, xmax + 0.26::DOUBLE AS xmax, ymax + 0.26::DOUBLE AS ymax FROM units WHERE id % 50 = 3)
+    """+ shape AS (SELECT (parts - 1) // 100 + 1 AS lines, (((parts - 1) // 100 + 1) / 10.0::DOUBLE + 1) / 0.25::DOUBLE AS high FROM n),
+grid AS (SELECT r.range AS row, c.range AS col, -20.5::DOUBLE + (c.range + 0.5) * 0.25::DOUBLE AS x, -9.5::DOUBLE + lines / 10.0::DOUBLE - (r.range + 0.5) * 0.25::DOUBLE AS y
+  FROM shape, range(0, ceil(high)::BIGINT) r, range(44) c),
+big AS (SELECT id, xmin - 0.17::DOUBLE AS xmin, ymin - 0.17::DOUBLE AS ymin, xmax + 0.26::DOUBLE AS xmax, ymax + 0.26::DOUBLE AS ymax FROM units)
 SELECT id, row, col FROM big, grid WHERE x > xmin AND x < xmax AND y > ymin AND y < ymax"""
 )
 def rasterize_cells(spark, sf_dir):
-    u = synthetic_fabric(spark, sf_dir).units.filter("id % 50 = 3")
+    """Every unit, a margin around it, on a grid over the bounds of all units."""
+    u = synthetic_fabric(spark, sf_dir).units
+    lines = u.agg(F.floor((F.count(F.lit(1)) - 1) / F.lit(100.0)).cast("int")).first()[0] + 1
     big = u.select("id", X.rectangle_edges(F.col("xmin") - 0.17, F.col("ymin") - 0.17, F.col("xmax") + 0.26, F.col("ymax") + 0.26).alias("edges"))
-    return raster.rasterized(big, -20.0, -5.0, 0.25, -0.25, 20, 40)
+    return raster.rasterized(big, -20.5, -9.5 + lines / 10.0, 0.25, -0.25, math.ceil((lines / 10.0 + 1) / 0.25), 44)
 
 
 @query(
@@ -418,7 +423,7 @@ def terminal_refinement(spark, sf_dir):
     grid = Grid(cells, 0.0, 0.0, 1.0, -1.0, rows, WIDTH)
     k = F.col("event_id")
     x, y = (k * 37 % 90).cast("double"), -(k * 53 % max(rows - 2, 1)).cast("double")
-    boxes = spark.read.parquet(f"{sf_dir}/events.parquet").filter("event_id < 200").select(k.alias("terminal_id"), k.alias("unit_id"), (x + 4).alias("lon"), (y - 4).alias("lat"), X.rectangle_edges(x, y - 7, x + 9, y).alias("edges"))
+    boxes = spark.read.parquet(f"{sf_dir}/events.parquet").select(k.alias("terminal_id"), k.alias("unit_id"), (x + 4).alias("lon"), (y - 4).alias("lat"), X.rectangle_edges(x, y - 7, x + 9, y).alias("edges"))
     return refine(boxes, grid, 40.0).select("terminal_id", "status", "reason", "n_cells", "pour_row", "pour_col")
 
 

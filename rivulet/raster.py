@@ -8,8 +8,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rivulet.closure import upstream_closure
+from rivulet.closure import closed_forest, cycle_members
 from rivulet.expressions import STEPS, flow_code_kind, flow_direction, pixel_centre
+from rivulet.tables import written
+
+#: Cells that a block spans each way in the first round of a search.
+BLOCK = 8
 
 
 def decoded(cells: DataFrame, encoding: str = "esri") -> DataFrame:
@@ -37,32 +41,55 @@ def stream_cells(cells: DataFrame, threshold: float) -> DataFrame:
     return cells.filter(F.col("acc").isNotNull() & ~F.isnan(F.col("acc").cast("double")) & (F.col("acc") >= threshold))
 
 
-def snapped(cells: DataFrame, points: DataFrame, threshold: float) -> DataFrame:
+def snapped(cells: DataFrame, points: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
     """(point_id, grid_id, row, col, acc): the nearest stream cell of each point's grid.
 
     Points are (point_id, grid_id, prow, pcol) in fractional pixels. Distance is from pixel
     centres; ties go to the larger accumulation, then to the first cell in row-major order.
-    Aggregation is partial, so no grid is gathered.
+    A point meets the cells of the nine blocks around it by an equi-join, and is done if the best is
+    no farther than a block is wide; the others go on with blocks twice as wide, until those span the grid.
     """
-    joined = stream_cells(cells, threshold).join(points, "grid_id")
-    dr, dc = F.col("row") + 0.5 - F.col("prow"), F.col("col") + 0.5 - F.col("pcol")
-    order = F.struct((dr * dr + dc * dc).alias("d"), (-F.col("acc")).alias("a"), F.col("row").alias("row"), F.col("col").alias("col"))
-    best = joined.groupBy("point_id", "grid_id").agg(F.min(order).alias("b"))
-    return best.select("point_id", "grid_id", F.col("b.row").alias("row"), F.col("b.col").alias("col"), (-F.col("b.a")).alias("acc"))
+    streams = stream_cells(cells, threshold).select("grid_id", "row", "col", "acc")
+    spans = streams.groupBy("grid_id").agg(*[f(c).alias(f"{n}_{c}") for c in ("row", "col") for f, n in ((F.min, "least"), (F.max, "most"))])
+    near = points.join(spans, "grid_id")
+    # as wide as from the point to the farthest end of its grid's stream cells: then nothing is outside
+    reach = F.greatest(*[F.abs(F.col(p) - F.col(f"{n}_{c}")) for p, c in (("prow", "row"), ("pcol", "col")) for n in ("least", "most")])
+    waiting = written(near.select("point_id", "grid_id", "prow", "pcol", (reach + 1).alias("reach")))
+    done, width = None, float(block)
+    while True:
+        at = lambda c: F.floor(c / F.lit(width)).cast("long")
+        around = F.explode(F.array(*[F.struct((at(F.col("prow")) + i).alias("br"), (at(F.col("pcol")) + j).alias("bc")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+        asked = waiting.withColumn("b", around).select("*", "b.br", "b.bc").drop("b")
+        placed = streams.withColumns({"br": at(F.col("row") + 0.5), "bc": at(F.col("col") + 0.5)})
+        dr, dc = F.col("row") + 0.5 - F.col("prow"), F.col("col") + 0.5 - F.col("pcol")
+        order = F.struct((dr * dr + dc * dc).alias("d"), (-F.col("acc")).alias("a"), F.col("row").alias("row"), F.col("col").alias("col"))
+        met = asked.join(placed, ["grid_id", "br", "bc"]).groupBy("point_id", "grid_id").agg(F.min(order).alias("best"))
+        found = written(waiting.join(met, ["point_id", "grid_id"], "left").withColumn("sure", F.coalesce(F.col("best.d") <= width * width, F.lit(False)) | (F.col("reach") <= width)))
+        sure = found.filter("sure AND best IS NOT NULL").select("point_id", "grid_id", F.col("best.row").alias("row"), F.col("best.col").alias("col"), (-F.col("best.a")).alias("acc"))
+        done = sure if done is None else done.union(sure)
+        waiting = found.filter("NOT sure").drop("best", "sure")
+        if not waiting.take(1):
+            return done
+        width *= 2
 
 
 def traced(cells: DataFrame, pours: DataFrame, encoding: str = "esri") -> DataFrame:
     """(pour_id, grid_id, row, col): all cells that drain to each pour cell (pour_id, grid_id, row, col), itself included.
 
-    A cell drains to one other, so this is the closure of a tree; cells of a flow cycle have no way out.
+    A cell drains to one other, so this is the closure of a forest once the links of flow cycles are
+    taken out; a pour cell on a cycle has all of the cycle and what drains to it.
     """
     key = lambda r, c: F.struct(F.col("grid_id").alias("g"), F.col(r).cast("long").alias("r"), F.col(c).cast("long").alias("c"))
-    flows = downstream(cells, encoding).filter("to_row IS NOT NULL")
-    there = cells.select(key("row", "col").alias("id"))
-    links = flows.select(key("to_row", "to_col").alias("id"), key("row", "col").alias("upstream_id")).join(there, "id", "left_semi")
-    starts = pours.select("pour_id", key("row", "col").alias("terminal_id"))
-    reached = upstream_closure(starts.select(F.col("terminal_id").alias("unit_id")), links, "dag")
-    return reached.join(starts, "terminal_id").select("pour_id", F.col("unit_id.g").alias("grid_id"), F.col("unit_id.r").alias("row"), F.col("unit_id.c").alias("col"))
+    there = cells.select(key("row", "col").alias("to_id"))
+    flows = downstream(cells, encoding).filter("to_row IS NOT NULL").select(key("row", "col").alias("id"), key("to_row", "to_col").alias("to_id"))
+    flows = written(flows.join(there, "to_id", "left_semi").select("id", "to_id"))
+    cycles = written(cycle_members(flows))
+    starts = pours.select("pour_id", key("row", "col").alias("id")).join(cycles, "id", "left")
+    whole = starts.filter("cycle_id IS NOT NULL").select("pour_id", "cycle_id").join(cycles, "cycle_id").select("pour_id", "id")
+    starts = starts.filter("cycle_id IS NULL").select("pour_id", "id").union(whole)
+    links = flows.join(cycles.select("id"), "id", "left_anti").select(F.col("to_id").alias("id"), F.col("id").alias("upstream_id"))
+    reached = closed_forest(starts.select(F.col("pour_id").alias("terminal_id"), F.col("id").alias("unit_id")), links)
+    return reached.select(F.col("terminal_id").alias("pour_id"), F.col("unit_id.g").alias("grid_id"), F.col("unit_id.r").alias("row"), F.col("unit_id.c").alias("col"))
 
 
 def rasterized(shapes: DataFrame, origin_x: float, origin_y: float, width: float, height: float, rows: int, cols: int, key: str = "id") -> DataFrame:

@@ -12,10 +12,12 @@ _local: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder of this machine only where it is unset."""
+    """``spark.checkpoint.dir`` of the session; a temporary folder of this machine only where it is unset on a local master."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _local:
         folder = tempfile.TemporaryDirectory(prefix="rivulet-")
         atexit.register(folder.cleanup)
@@ -23,9 +25,13 @@ def shared_folder(spark: SparkSession) -> str:
     return _local[0]
 
 
+def new_path(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/fabric-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table: lineage ends there, and a lost executor costs no recomputation of it."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/fabric-{uuid.uuid4().hex}"
+    path = new_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
