@@ -1,9 +1,10 @@
 """Dissolving, measuring and writing watershed polygons.
 
-A fabric's cells share borders vertex by vertex, so the union of cells is found by cancelling
-edges: every ring becomes directed edges, edges that meet their opposite disappear by a groupBy,
-and the rest are the union's border, all on the executors. One small kernel per watershed then
-stitches the border into rings; Karney's area and WKB are vectorised over those rings.
+A fabric's cells share borders, so the union of cells is found by cancelling edges: every ring
+becomes directed edges, edges with another piece's vertex on them are parted there, edges that
+meet their opposite disappear by a groupBy, and the rest are the union's border, all on the
+executors. One small kernel per watershed then stitches the border into rings; Karney's area and
+WKB are vectorised over those rings.
 """
 
 from __future__ import annotations
@@ -17,37 +18,100 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rivulet.tables import written
+
 #: Coordinates are compared as integers of this many decimals.
 DECIMALS = 7
 #: WGS 84.
 A, FLAT = 6_378_137.0, 1 / 298.257223563
 
 
+_ENDS = ("x0", "y0", "x1", "y1")
+
+
+def _cancelled(each: DataFrame, key: str) -> DataFrame:
+    """(key, x0, y0, x1, y1, times, piece): directed edges (key, x0, y0, x1, y1, times, piece) less those that meet their opposite."""
+    forward = (F.col("x0") < F.col("x1")) | ((F.col("x0") == F.col("x1")) & (F.col("y0") < F.col("y1")))
+    ends = {"ax": ("x0", "x1"), "ay": ("y0", "y1"), "bx": ("x1", "x0"), "by": ("y1", "y0")}
+    sided = each.select(key, "piece", *[F.when(forward, F.col(f)).otherwise(F.col(b)).alias(n) for n, (f, b) in ends.items()], F.when(forward, F.col("times")).otherwise(-F.col("times")).alias("way"))
+    net = sided.groupBy(key, "ax", "ay", "bx", "by").agg(F.sum("way").alias("net"), F.min("piece").alias("piece")).filter("net <> 0")
+    plus = F.col("net") > 0
+    out = {"x0": ("ax", "bx"), "y0": ("ay", "by"), "x1": ("bx", "ax"), "y1": ("by", "ay")}
+    return net.select(key, *[F.when(plus, F.col(f)).otherwise(F.col(b)).alias(n) for n, (f, b) in out.items()], F.abs("net").alias("times"), "piece")
+
+
+def _meetings(edges: DataFrame, key: str) -> DataFrame:
+    """(key, x0, y0, x1, y1, points, crossed): edges that an edge of another piece ends on, with the places, or crosses.
+
+    Edges are put in cells by their length: an edge lies in at most four cells of its class, and is
+    looked for in the cells of its own and all longer classes of the key. Only cells that several
+    pieces touch matter, so pieces that lie apart cost one aggregate.
+    """
+    spans = F.greatest(F.abs(F.col("x1") - F.col("x0")), F.abs(F.col("y1") - F.col("y0")), F.lit(1))
+    sized = edges.withColumn("class", F.ceil(F.log2(spans.cast("double"))).cast("int"))
+    classes = sized.groupBy(key).agg(F.collect_set("class").alias("classes"))
+
+    def celled(df: DataFrame, of: str) -> DataFrame:
+        width = F.pow(F.lit(2.0), F.col(of))
+        cell = lambda c: F.floor(c / width).cast("long")
+        across = [F.sequence(cell(F.least(a, b) - 1), cell(F.greatest(a, b) + 1)) for a, b in (("x0", "x1"), ("y0", "y1"))]
+        return df.withColumn("cx", F.explode(across[0])).withColumn("cy", F.explode(across[1]))
+
+    asking = celled(sized.join(classes, key).withColumn("of", F.explode(F.filter("classes", lambda c: c >= F.col("class")))).drop("classes"), "of")
+    shared = asking.groupBy(key, "of", "cx", "cy").agg(F.min("piece").alias("one"), F.max("piece").alias("another")).filter("one <> another").select(key, "of", "cx", "cy")
+    shared = written(shared)
+    held = celled(sized.withColumn("of", F.col("class")), "of").join(shared, [key, "of", "cx", "cy"], "left_semi")
+    other = asking.join(shared, [key, "of", "cx", "cy"], "left_semi").select(key, "of", "cx", "cy", F.col("piece").alias("their"), *[F.col(c).alias(f"o{c}") for c in _ENDS])
+    met = held.join(other, [key, "of", "cx", "cy"]).filter("piece <> their")
+    exact = lambda c: c.cast("decimal(20,0)")
+    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+
+    def side(x: str, y: str):
+        return exact(dx) * exact(F.col(y) - F.col("y0")) - exact(dy) * exact(F.col(x) - F.col("x0"))
+
+    def along(x: str, y: str):
+        return exact(dx) * exact(F.col(x) - F.col("x0")) + exact(dy) * exact(F.col(y) - F.col("y0"))
+
+    length2 = exact(dx) * exact(dx) + exact(dy) * exact(dy)
+    ends_on = (F.abs(side("ox0", "oy0")) <= F.greatest(F.abs(dx), F.abs(dy))) & (along("ox0", "oy0") > 0) & (along("ox0", "oy0") < length2)
+    odx, ody = F.col("ox1") - F.col("ox0"), F.col("oy1") - F.col("oy0")
+    their_side = lambda x, y: exact(odx) * exact(F.col(y) - F.col("oy0")) - exact(ody) * exact(F.col(x) - F.col("ox0"))
+    touch = F.greatest(F.abs(dx), F.abs(dy), F.abs(odx), F.abs(ody))
+    apart = lambda a, b: ((a > touch) & (b < -touch)) | ((a < -touch) & (b > touch))
+    crosses = apart(side("ox0", "oy0"), side("ox1", "oy1")) & apart(their_side("x0", "y0"), their_side("x1", "y1"))
+    place = F.when(ends_on, F.struct(along("ox0", "oy0").alias("t"), F.col("ox0").alias("x"), F.col("oy0").alias("y")))
+    judged = met.select(key, *_ENDS, place.alias("place"), crosses.alias("crosses")).filter("place IS NOT NULL OR crosses")
+    return judged.groupBy(key, *_ENDS).agg(F.sort_array(F.collect_set("place")).alias("points"), F.bool_or("crosses").alias("crossed"))
+
+
 def border_edges(pieces: DataFrame, key: str, edges: str = "edges") -> DataFrame:
-    """(key, x0, y0, x1, y1): directed edges of a key's union, in units of 10**-DECIMALS degrees.
+    """(key, x0, y0, x1, y1, times, crossed): directed edges of a key's union, in units of 10**-DECIMALS degrees.
 
     ``pieces`` has a row for each polygon and its ring edges (exteriors counter-clockwise, holes
-    clockwise). Edges that two pieces share in opposite directions cancel.
+    clockwise). Edges that two pieces share in opposite directions cancel; then edges on which
+    another piece has a vertex (within one unit) are parted there, and cancel again. ``times`` above 1 are edges
+    that pieces share in the same direction, ``crossed`` those that cross another piece's: there pieces overlap.
     """
     scale = 10**DECIMALS
     whole = lambda c: F.floor(F.col(f"e.{c}") * scale + 0.5).cast("long").alias(c)
-    each = pieces.select(key, F.explode(edges).alias("e")).select(key, *[whole(c) for c in ("x0", "y0", "x1", "y1")])
-    each = each.filter((F.col("x0") != F.col("x1")) | (F.col("y0") != F.col("y1")))
-    forward = (F.col("x0") < F.col("x1")) | ((F.col("x0") == F.col("x1")) & (F.col("y0") < F.col("y1")))
-    ends = {"ax": ("x0", "x1"), "ay": ("y0", "y1"), "bx": ("x1", "x0"), "by": ("y1", "y0")}
-    sided = each.select(key, *[F.when(forward, F.col(f)).otherwise(F.col(b)).alias(n) for n, (f, b) in ends.items()], F.when(forward, F.lit(1)).otherwise(F.lit(-1)).alias("way"))
-    net = sided.groupBy(key, "ax", "ay", "bx", "by").agg(F.sum("way").alias("net")).filter("net <> 0")
-    plus = F.col("net") > 0
-    out = {"x0": ("ax", "bx"), "y0": ("ay", "by"), "x1": ("bx", "ax"), "y1": ("by", "ay")}
-    return net.select(key, *[F.when(plus, F.col(f)).otherwise(F.col(b)).alias(n) for n, (f, b) in out.items()], F.abs("net").alias("times"))
+    each = pieces.select(key, F.xxhash64(edges).alias("piece"), F.explode(edges).alias("e")).select(key, "piece", F.lit(1).alias("times"), *[whole(c) for c in _ENDS])
+    first = written(_cancelled(each.filter((F.col("x0") != F.col("x1")) | (F.col("y0") != F.col("y1"))), key))
+    met = first.join(_meetings(first, key), [key, *_ENDS], "left")
+    stops = F.concat(F.array(F.struct(F.col("x0").alias("x"), F.col("y0").alias("y"))), F.transform(F.coalesce("points", F.array()), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))), F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y"))))
+    steps = F.transform(F.sequence(F.lit(1), F.size("stops") - 1), lambda i: F.struct(F.get("stops", i - 1).alias("a"), F.get("stops", i).alias("b")))
+    parted = met.withColumn("stops", stops).select(key, "piece", "times", F.coalesce("crossed", F.lit(False)).alias("crossed"), F.explode(steps).alias("s"))
+    parted = written(parted.select(key, "piece", "times", "crossed", F.col("s.a.x").alias("x0"), F.col("s.a.y").alias("y0"), F.col("s.b.x").alias("x1"), F.col("s.b.y").alias("y1")))
+    faulty = parted.filter("crossed").select(key).distinct().withColumn("crossed", F.lit(True))
+    return _cancelled(parted.drop("crossed"), key).drop("piece").join(faulty, key, "left").withColumn("crossed", F.coalesce("crossed", F.lit(False)))
 
 
 def fits_together(border: DataFrame, key: str) -> DataFrame:
     """(key, is_clean): whether edges cancelled to a border that every vertex leaves as often as it is entered,
-    no edge twice. Overlaps and T-junctions make it false: such pieces need a general union first."""
-    ends = border.select(key, F.col("x0").alias("x"), F.col("y0").alias("y"), F.lit(1).alias("d"), "times").union(border.select(key, "x1", "y1", F.lit(-1), "times"))
-    vertices = ends.groupBy(key, "x", "y").agg(F.sum(F.col("d") * F.col("times")).alias("d"), F.max("times").alias("times"))
-    return vertices.groupBy(key).agg(F.bool_and((F.col("d") == 0) & (F.col("times") == 1)).alias("is_clean"))
+    no edge twice, and no edges cross. False where pieces overlap: such pieces need a general union first.
+    (A piece within another is seen by :func:`dissolved`.)"""
+    ends = border.select(key, F.col("x0").alias("x"), F.col("y0").alias("y"), F.lit(1).alias("d"), "times", "crossed").union(border.select(key, "x1", "y1", F.lit(-1), "times", "crossed"))
+    vertices = ends.groupBy(key, "x", "y").agg(F.sum(F.col("d") * F.col("times")).alias("d"), F.max("times").alias("times"), F.max("crossed").alias("crossed"))
+    return vertices.groupBy(key).agg(F.bool_and((F.col("d") == 0) & (F.col("times") == 1) & ~F.col("crossed")).alias("is_clean"))
 
 
 def _packed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -58,7 +122,7 @@ def _packed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def stitch(edges: np.ndarray) -> list[np.ndarray]:
     """Closed rings of directed edges (n, 4). At a vertex of several ways out the sharpest left turn is taken,
     so polygons that touch at a point stay apart; straight runs keep their first and last vertex alone.
-    Edges that lead nowhere are left out."""
+    Edges that lead nowhere are left out, and so are those that lead into a ring from outside of it."""
     e = edges[np.lexsort((edges[:, 3], edges[:, 2], edges[:, 1], edges[:, 0]))].astype(np.int64)
     starts, ends = _packed(e[:, 0], e[:, 1]), _packed(e[:, 2], e[:, 3])
     low, high = np.searchsorted(starts, ends, "left"), np.searchsorted(starts, ends, "right")
@@ -68,15 +132,15 @@ def stitch(edges: np.ndarray) -> list[np.ndarray]:
         ways = e[low[i] : high[i]]
         turn = (back - np.arctan2(ways[:, 3] - ways[:, 1], ways[:, 2] - ways[:, 0])) % (2 * np.pi)
         after[i] = low[i] + int(np.argmin(turn))
-    following, seen, rings = after.tolist(), bytearray(len(e)), []
+    following, walk, rings = after.tolist(), [-1] * len(e), []
     for first in range(len(e)):
         path, at = [], first
-        while at >= 0 and not seen[at]:
-            seen[at] = 1
+        while at >= 0 and walk[at] < 0:
+            walk[at] = first
             path.append(at)
             at = following[at]
-        if path and at == first:
-            p = e[path, :2]
+        if at >= 0 and walk[at] == first:
+            p = e[path[path.index(at) :], :2]
             d1, d2 = p - np.roll(p, 1, axis=0), np.roll(p, -1, axis=0) - p
             p = p[d1[:, 0] * d2[:, 1] != d1[:, 1] * d2[:, 0]]
             if len(p) > 2:
@@ -98,20 +162,52 @@ def _holds(ring: np.ndarray, point: np.ndarray) -> bool:
     return bool(np.count_nonzero(spans & (point[0] < at)) % 2)
 
 
+def _within(inner: list[np.ndarray], outer: list[np.ndarray]) -> list[list[int]]:
+    """For each ring of ``inner`` the numbers of the rings of ``outer`` that hold it, another one each; bounds are compared first."""
+    if not inner or not outer:
+        return [[] for _ in inner]
+    low, high = (np.array([f(r, axis=0) for r in outer]) for f in (np.min, np.max))
+    found = []
+    for ring in inner:
+        near = np.flatnonzero((low <= ring.min(axis=0)).all(axis=1) & (high >= ring.max(axis=0)).all(axis=1))
+        found.append([int(i) for i in near if outer[i] is not ring and _holds(outer[i], (ring[0] + ring[1]) / 2)])
+    return found
+
+
+def overlapping(rings: list[np.ndarray]) -> bool:
+    """Whether an exterior lies in more exteriors than holes around it: then two pieces cover it."""
+    areas = [planar_area(r) for r in rings]
+    outer, holes = [r for r, a in zip(rings, areas, strict=True) if a > 0], [r for r, a in zip(rings, areas, strict=True) if a < 0]
+    around = _within(outer, outer)
+    nested = [i for i, x in enumerate(around) if x]
+    return any(len(around[i]) > len(h) for i, h in zip(nested, _within([outer[i] for i in nested], holes), strict=True))
+
+
 def polygons(rings: list[np.ndarray], least_hole: float | None = None) -> list[list[np.ndarray]]:
     """Polygons of rings: exteriors (counter-clockwise) first, then the holes in them.
 
-    Holes are dropped, or only those of a planar area below ``least_hole`` (square degrees).
+    Holes are dropped, and what lies in a dropped hole with them, or only those of a planar area
+    below ``least_hole`` (square degrees).
     """
-    outer = [r for r in rings if planar_area(r) > 0]
-    out = [[r] for r in outer]
-    if least_hole is not None:
-        for hole in (r for r in rings if planar_area(r) < 0):
-            if -planar_area(hole) / 10.0 ** (2 * DECIMALS) >= least_hole:
-                inside = [p for p in out if _holds(p[0], (hole[0] + hole[1]) / 2)]
-                if inside:
-                    min(inside, key=lambda p: planar_area(p[0])).append(hole)
-    return out
+    areas = [planar_area(r) for r in rings]
+    outer = [r for r, a in zip(rings, areas, strict=True) if a > 0]
+    holes = [r for r, a in zip(rings, areas, strict=True) if a < 0]
+    kept = [] if least_hole is None else [h for h in holes if -planar_area(h) / 10.0 ** (2 * DECIMALS) >= least_hole]
+    # an island stays if each exterior around it has a hole around the island too
+    around = _within(outer, outer)
+    nested = [i for i, x in enumerate(around) if x]
+    gone = {i for i, h in zip(nested, _within([outer[i] for i in nested], kept), strict=True) if len(h) < len(around[i])}
+    out = {i: [r] for i, r in enumerate(outer) if i not in gone}
+    for hole, inside in zip(kept, _within(kept, outer), strict=True):
+        inside = [i for i in inside if i in out]
+        if inside:
+            out[min(inside, key=lambda i: planar_area(outer[i]))].append(hole)
+    return list(out.values())
+
+
+def largest_polygon(shape: list[list[np.ndarray]]) -> list[np.ndarray] | None:
+    """The polygon of the largest planar area, holes taken off; null of none."""
+    return max(shape, key=lambda p: abs(planar_area(p[0])) - sum(abs(planar_area(h)) for h in p[1:]), default=None)
 
 
 def canonical(shape: list[list[np.ndarray]]) -> list[list[np.ndarray]]:
@@ -136,12 +232,14 @@ def to_wkb(shape) -> bytes:
     return b"".join(out)
 
 
-def from_wkb(data: bytes) -> list[list[list[tuple[float, float]]]]:
-    """Polygons of a WKB Polygon or MultiPolygon of either byte order."""
+def wkb_polygons(data: bytes) -> list[list[np.ndarray]]:
+    """Rings (n, 2) of the polygons of a WKB Polygon or MultiPolygon of either byte order; ValueError for anything else."""
     at = 0
 
     def head() -> tuple[str, int, int]:
         nonlocal at
+        if len(data) < at + 9:
+            raise ValueError("WKB ends too soon")
         order = "<" if data[at] == 1 else ">"
         kind, n = struct.unpack_from(order + "II", data, at + 1)
         at += 9
@@ -151,9 +249,10 @@ def from_wkb(data: bytes) -> list[list[list[tuple[float, float]]]]:
         nonlocal at
         rings = []
         for _ in range(n):
+            if len(data) < at + 4:
+                raise ValueError("WKB ends too soon")
             (points,) = struct.unpack_from(order + "I", data, at)
-            flat = np.frombuffer(data, order + "f8", 2 * points, at + 4).reshape(-1, 2)
-            rings.append([(float(x), float(y)) for x, y in flat])
+            rings.append(np.frombuffer(data, order + "f8", 2 * points, at + 4).reshape(-1, 2).astype(float))
             at += 4 + 16 * points
         return rings
 
@@ -169,6 +268,11 @@ def from_wkb(data: bytes) -> list[list[list[tuple[float, float]]]]:
     return out
 
 
+def from_wkb(data: bytes) -> list[list[list[tuple[float, float]]]]:
+    """:func:`wkb_polygons` as lists of pairs."""
+    return [[[(x, y) for x, y in r.tolist()] for r in p] for p in wkb_polygons(data)]
+
+
 def geodesic_area_km2(shape) -> float:
     """Area on WGS 84 with geodesic edges (Karney 2013: S12 of each edge, equation 59 by quadrature)."""
     rings = [np.radians(np.asarray(r, float)) for polygon in shape for r in polygon]
@@ -262,16 +366,20 @@ SHAPE = T.StructType(
 def dissolved(border: DataFrame, key: str, least_hole: float | None = None) -> DataFrame:
     """(key, geometry, area_km2, parts, is_clean): the canonical WKB MultiPolygon of each key's border edges.
 
-    A border is far smaller than its pieces; each key's is stitched by one task. ``is_clean`` is that of
-    :func:`fits_together`.
+    A border is far smaller than its pieces; each key's is stitched by one task. ``is_clean`` is
+    false where pieces overlap, that is where :func:`fits_together` is false or a piece lies
+    within another; geometry, area and parts are null then, since no union was made.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         edges = pdf[["x0", "y0", "x1", "y1"]].to_numpy(np.int64)
-        shape = canonical(polygons(stitch(edges), least_hole))
         leaves, enters = np.sort(_packed(edges[:, 0], edges[:, 1])), np.sort(_packed(edges[:, 2], edges[:, 3]))
-        clean = bool((leaves == enters).all() and (pdf["times"] == 1).all())
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "geometry": [to_wkb(shape)], "area_km2": [geodesic_area_km2(shape)], "parts": [len(shape)], "is_clean": [clean]})
+        clean = bool((leaves == enters).all() and (pdf["times"] == 1).all() and not pdf["crossed"].any())
+        rings = stitch(edges) if clean else []
+        clean = clean and sum(map(len, rings)) > 0 and not overlapping(rings)
+        shape = canonical(polygons(rings, least_hole)) if clean else None
+        given = [to_wkb(shape), geodesic_area_km2(shape), len(shape)] if clean else [None] * 3
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "geometry": given[:1], "area_km2": given[1:2], "parts": pd.array(given[2:], "Int32"), "is_clean": [clean]})
 
     schema = T.StructType([border.schema[key], *SHAPE.fields])
     return border.groupBy(key).applyInPandas(run, schema)

@@ -18,6 +18,7 @@ from rivulet.fabric import SQL, WIDTH, Fabric, synthetic_fabric, synthetic_outle
 from rivulet.geometry import border_edges, fits_together
 from rivulet.refine import Grid, refine
 from rivulet.resolve import method_label, resolve_by_containment, resolve_by_snap
+from rivulet.tables import written
 from rivulet.validate import violations
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -235,6 +236,32 @@ def dissolve_is_clean(spark, sf_dir):
     return fits_together(border_edges(Engine(f).pre_merge_units(closure, 0), "terminal_id"), "terminal_id")
 
 
+def _bricks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(k, edges): boxes of three sizes in bands of four rows, whose corners lie on each other's sides."""
+    cell = F.col("p_partkey")
+    row, col = F.floor(cell / F.lit(float(WIDTH))).cast("long"), cell % WIDTH
+    wide = F.element_at(F.array(F.lit(1), F.lit(2), F.lit(5), F.lit(2)), (row % 4 + 1).cast("int"))
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").filter(col % wide == 0)
+    x, y = (col - 200) / 10.0, (row - 100) / 10.0
+    box = X.rectangle_edges(x, y, (col + wide - 200) / 10.0, (row - 99) / 10.0)
+    return part.select(F.floor(row / F.lit(4.0)).cast("long").alias("k"), box.alias("edges"))
+
+
+@query(
+    """+ sized AS (SELECT row, min(col) AS a, max(col) + 1 AS b FROM (SELECT p_partkey // 100 AS row, w.v AS w, (p_partkey % 100) AS col
+  FROM part JOIN (VALUES (0, 1), (1, 2), (2, 5), (3, 2)) w(m, v) ON (p_partkey // 100) % 4 = w.m) GROUP BY row),
+bands AS (SELECT row // 4 AS k, min(row) AS low, max(row) + 1 AS high, min(a) AS a, max(b) AS b FROM sized GROUP BY 1)
+SELECT k, (b - a) * 1000000 * 2 + (high - low) * 1000000 * 2 AS border, (b - a) * (high - low) AS cells, true AS is_clean FROM bands"""
+)
+def dissolve_t_junctions(spark, sf_dir):
+    """Length of the border and number of cells of each band of boxes that meet in T-junctions."""
+    border = written(border_edges(_bricks(spark, sf_dir), "k"))
+    length = F.sum(F.abs(F.col("x1") - F.col("x0")) + F.abs(F.col("y1") - F.col("y0"))).cast("long")
+    twice = F.sum((F.col("x0") * F.col("y1") - F.col("x1") * F.col("y0")).cast("decimal(38,0)"))
+    sizes = border.groupBy("k").agg(length.alias("border"), (twice / F.lit(2 * 10**12)).cast("long").alias("cells"))
+    return sizes.join(fits_together(border, "k"), "k")
+
+
 @query()
 def dissolve_canonical_wkb(spark, sf_dir):
     f, closure = _closed(spark, sf_dir, False)

@@ -66,12 +66,45 @@ def test_dissolve_does_not_depend_on_order(spark):
     assert a == b and a[0].is_clean
 
 
-def test_overlaps_are_noticed(spark):
-    pieces = spark.createDataFrame([(1, 0.0), (1, 0.5)], "k int, x double").select("k", X.rectangle_edges(F.col("x"), F.lit(0.0), F.col("x") + 1, F.lit(1.0)).alias("edges"))
-    border = geometry.border_edges(pieces, "k")
-    assert border.count() == 8  # no edge is shared: the union of overlapping pieces isn't found by cancelling
-    twice = geometry.border_edges(pieces.limit(1).union(pieces.limit(1)), "k")
-    assert not geometry.fits_together(twice, "k").first().is_clean
+def boxes(spark, rows):
+    """(k, edges) of boxes (k, x0, y0, x1, y1)."""
+    df = spark.createDataFrame([(k, *map(float, r)) for k, *r in rows], "k int, a double, b double, c double, d double")
+    return df.select("k", X.rectangle_edges(F.col("a"), F.col("b"), F.col("c"), F.col("d")).alias("edges"))
+
+
+def test_t_junctions_dissolve(spark):
+    rows = [(1, 0, 0, 2, 1), (1, 0, 1, 1, 2), (1, 1, 1, 2, 2), (2, 0, 0, 3, 3), (2, 3, 1, 4, 2), (2, 3, 0, 4, 1), (2, 3, 2, 5, 3), (2, 4, 0, 5, 2)]
+    got = {r.k: r for r in geometry.dissolved(geometry.border_edges(boxes(spark, rows), "k"), "k").collect()}
+    for k, (w, h) in {1: (2, 2), 2: (5, 3)}.items():
+        assert got[k].is_clean and got[k].parts == 1
+        assert geometry.from_wkb(bytes(got[k].geometry)) == [[[(0.0, 0.0), (w, 0.0), (w, h), (0.0, h), (0.0, 0.0)]]]
+    # a slanted border whose middle vertex, rounded to the grid, lies beside the long edge
+    slant = [(0.0, 0.0), (3.0, 0.0), (3.0, 1.0)], [(0.0, 0.0), (3.0, 1.0), (0.0, 1.0)], [(1.0000000, 1 / 3), (0.0, 0.0), (1.0, 0.0)]
+    lower = [[(0.0, 0.0), (3.0, 0.0), (3.0, 1.0), (1.0, 1 / 3)]]
+    pieces = [[*lower[0]], list(slant[1])]
+    rings = [(1, [dict(x0=a[0], y0=a[1], x1=b[0], y1=b[1]) for a, b in zip(r, [*r[1:], r[0]], strict=True)]) for r in pieces]
+    df = spark.createDataFrame(rings, "k int, edges array<struct<x0:double,y0:double,x1:double,y1:double>>")
+    row = geometry.dissolved(geometry.border_edges(df, "k"), "k").first()
+    assert row.is_clean and row.parts == 1 and len(geometry.from_wkb(bytes(row.geometry))[0][0]) == 5
+
+
+@pytest.mark.parametrize("rows", [[(1, 0, 0, 1, 1), (1, 0.5, 0, 1.5, 1)], [(1, 0, 0, 1, 1), (1, 0.5, 0.5, 1.5, 1.5)], [(1, 0, 0, 1, 1)] * 2, [(1, 0, 0, 3, 3), (1, 1, 1, 2, 2)], [(1, 0, 1, 3, 2), (1, 1, 0, 2, 3)]])
+def test_overlaps_are_no_geometry(spark, rows):
+    row = geometry.dissolved(geometry.border_edges(boxes(spark, rows), "k"), "k").first()
+    assert not row.is_clean and row.geometry is None and row.area_km2 is None and row.parts is None
+
+
+def test_islands_and_holes():
+    def ring(x0, y0, x1, y1, left=True):
+        p = np.array([(x0, y0), (x1, y0), (x1, y1), (x0, y1)]) * 10**geometry.DECIMALS
+        return p if left else p[::-1]
+
+    rings = [ring(0, 0, 9, 9), ring(1, 1, 8, 8, False), ring(2, 2, 7, 7), ring(3, 3, 4, 4, False)]
+    assert not geometry.overlapping(rings) and geometry.overlapping([rings[0], rings[2]])
+    assert [len(p) for p in geometry.polygons(rings)] == [1]  # all holes filled: the island with them
+    assert [len(p) for p in geometry.polygons(rings, 0.0)] == [2, 2]
+    assert [len(p) for p in geometry.polygons(rings, 10.0)] == [2, 1]
+    assert geometry.planar_area(geometry.largest_polygon([[rings[2]], [rings[0]]])[0]) == 81 * 10 ** (2 * geometry.DECIMALS)
 
 
 def test_closures_agree_and_report_faults(spark):
