@@ -42,6 +42,24 @@ def local_metres(lon_a: Column, lat_a: Column, lon_b: Column, lat_b: Column) ->
     return F.sqrt(dx * dx + dy * dy)
 
 
+def nearest_on_line(x: Column, y: Column, points: Column) -> Column:
+    """Struct (x, y): the point of a line (array of structs x, y; one element is a point) that is nearest in plane degrees; null of none."""
+    first = F.get(points, F.lit(0))
+    start = F.struct(F.lit(float("inf")).alias("d"), first["x"].alias("x"), first["y"].alias("y"))
+
+    def step(best: Column, i: Column) -> Column:
+        a, b = F.get(points, i - 1), F.get(points, i)
+        dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+        length2 = dx * dx + dy * dy
+        part = F.when(length2 > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - a["x"]) * dx + (y - a["y"]) * dy) / length2))).otherwise(F.lit(0.0))
+        px, py = a["x"] + part * dx, a["y"] + part * dy
+        d = (px - x) * (px - x) + (py - y) * (py - y)
+        return F.when(d < best["d"], F.struct(d.alias("d"), px.alias("x"), py.alias("y"))).otherwise(best)
+
+    segments = F.when(F.size(points) > 1, F.sequence(F.lit(1), F.size(points) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.when(F.size(points) > 0, F.aggregate(segments, start, step, lambda b: F.struct(b["x"].alias("x"), b["y"].alias("y"))))
+
+
 def bbox_intersects(a: dict[str, Column], b: dict[str, Column]) -> Column:
     """Inclusive overlap of two rectangles given as xmin, ymin, xmax, ymax."""
     return (a["xmin"] <= b["xmax"]) & (a["xmax"] >= b["xmin"]) & (a["ymin"] <= b["ymax"]) & (a["ymax"] >= b["ymin"])
@@ -146,11 +164,27 @@ def equal_earth_inverse(x: Column, y: Column) -> Column:
 
 def outward_float(value: Column, up: bool) -> Column:
     """The nearest 32-bit float at or beyond ``value`` upwards (or downwards)."""
-    near = value.cast("float")
-    scale = F.greatest(F.abs(near.cast("double")), F.lit(1.2e-38))
-    ulp = F.pow(F.lit(2.0), F.floor(F.log2(scale)) - 23)
-    beyond = (near.cast("double") + (ulp if up else -ulp)).cast("float")
-    return F.when(near.cast("double") >= value if up else near.cast("double") <= value, near).otherwise(beyond)
+    near = value.cast("float").cast("double")
+    # towards zero from a power of two steps are half as wide
+    size = F.greatest(F.abs(near), F.lit(2.0**-126))
+    power = F.pow(F.lit(2.0), F.floor(F.log2(size)))
+    power = F.when(power > size, power / 2).when(power * 2 <= size, power * 2).otherwise(power)  # log2 rounds
+    step = power * F.lit(2.0**-23)
+    inward = (near > 0) if not up else (near < 0)
+    step = F.when(inward & (power == F.abs(near)) & (power > F.lit(2.0**-126)), step / 2).otherwise(step)
+    beyond = (near + step if up else near - step).cast("float")
+    return F.when(near >= value if up else near <= value, near.cast("float")).otherwise(beyond)
+
+
+def flow_code(direction: Column, encoding: str) -> Column:
+    """The code of a flow direction's name in ``encoding``; 0 for a null one, null for a name that is none."""
+    codes = F.create_map(*[F.lit(x) for code, name in ENCODINGS[encoding].items() for x in (name, code)])
+    return F.when(direction.isNull(), F.lit(0)).otherwise(F.element_at(codes, direction))
+
+
+def direction_of_nodata(nodata: int | None, encoding: str) -> str | None:
+    """The direction that a declared nodata byte stands for, if it does: such a grid can't be told from its holes."""
+    return None if nodata is None else ENCODINGS[encoding].get(nodata)
 
 
 def flow_direction(code: Column, encoding: str) -> Column:

@@ -17,6 +17,14 @@ from rivulet.expressions import rectangle_edges
 WIDTH = 100
 
 
+@dataclass(frozen=True)
+class D8Declarations:
+    """What a manifest says about D8 grids: how many it declares, and the first of the family that can't be read."""
+
+    readable: int = 0
+    unreadable: str | None = None
+
+
 @dataclass(frozen=True)
 class Fabric:
     """Lazy tables; nothing is read before a query asks for it."""
@@ -27,6 +35,10 @@ class Fabric:
     topology: str = "tree"
     name: str = "synthetic"
     version: str | None = "1"
+    #: whether outlets are snapped unless options say otherwise
+    has_snaps: bool = False
+    #: auxiliary declarations of D8 grids that can be read, and the first that can't
+    d8_schemas: D8Declarations | None = None
 
 
 def _tenths(value):

@@ -92,10 +92,20 @@ def border_edges(pieces: DataFrame, key: str, edges: str = "edges") -> DataFrame
     another piece has a vertex (within one unit) are parted there, and cancel again. ``times`` above 1 are edges
     that pieces share in the same direction, ``crossed`` those that cross another piece's: there pieces overlap.
     """
+    return merged_border(piece_edges(pieces, key, edges), key)
+
+
+def piece_edges(pieces: DataFrame, key: str, edges: str = "edges") -> DataFrame:
+    """(key, piece, times, x0, y0, x1, y1): the edges of ``pieces`` in whole units, each with a number that stands for its piece."""
     scale = 10**DECIMALS
     whole = lambda c: F.floor(F.col(f"e.{c}") * scale + 0.5).cast("long").alias(c)
-    each = pieces.select(key, F.xxhash64(edges).alias("piece"), F.explode(edges).alias("e")).select(key, "piece", F.lit(1).alias("times"), *[whole(c) for c in _ENDS])
-    first = written(_cancelled(each.filter((F.col("x0") != F.col("x1")) | (F.col("y0") != F.col("y1"))), key))
+    each = pieces.select(key, F.xxhash64(edges).alias("piece"), F.explode(edges).alias("e")).select(key, "piece", F.lit(1).cast("long").alias("times"), *[whole(c) for c in _ENDS])
+    return each.filter((F.col("x0") != F.col("x1")) | (F.col("y0") != F.col("y1")))
+
+
+def merged_border(each: DataFrame, key: str) -> DataFrame:
+    """:func:`border_edges` of edges as :func:`piece_edges` gives them."""
+    first = written(_cancelled(each, key))
     met = first.join(_meetings(first, key), [key, *_ENDS], "left")
     stops = F.concat(F.array(F.struct(F.col("x0").alias("x"), F.col("y0").alias("y"))), F.transform(F.coalesce("points", F.array()), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))), F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y"))))
     steps = F.transform(F.sequence(F.lit(1), F.size("stops") - 1), lambda i: F.struct(F.get("stops", i - 1).alias("a"), F.get("stops", i).alias("b")))

@@ -160,7 +160,7 @@ resolved AS (
 
 @query(_PIP + "SELECT * FROM resolved")
 def pip_resolve(spark, sf_dir):
-    return resolve_by_containment(synthetic_outlets(spark, sf_dir), synthetic_fabric(spark, sf_dir).units)
+    return resolve_by_containment(synthetic_outlets(spark, sf_dir), synthetic_fabric(spark, sf_dir).units).drop("problem")
 
 
 @query(_PIP + "SELECT coalesce(tie_break, 'none') AS tie_break, contact, count(*) AS outlets FROM resolved GROUP BY ALL")
@@ -169,7 +169,7 @@ def pip_tie_breaks(spark, sf_dir):
     return got.groupBy(F.coalesce("tie_break", F.lit("none")).alias("tie_break"), "contact").agg(F.count(F.lit(1)).alias("outlets"))
 
 
-@query(_PIP + "SELECT outlet_id, 'pip(candidates=' || candidates || coalesce(', tie_break=' || tie_break, '') || ')' AS method FROM resolved")
+@query(_PIP + "SELECT outlet_id, 'pip(candidates=' || candidates || coalesce(', tie_break=' || CASE tie_break WHEN 'up_area' THEN 'HighestUpstreamArea' WHEN 'area' THEN 'HighestLocalArea' ELSE 'LowestUnitId' END, '') || ')' AS method FROM resolved")
 def resolution_labels(spark, sf_dir):
     return method_label(resolve_by_containment(synthetic_outlets(spark, sf_dir), synthetic_fabric(spark, sf_dir).units)).select("outlet_id", "method")
 

@@ -9,12 +9,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rivulet.errors import DatasetError
+from rivulet.expressions import direction_of_nodata, equal_earth, equal_earth_inverse, pixel_centre
+from rivulet.fabric import D8Declarations
 from rivulet.geometry import DECIMALS, border_edges
 from rivulet.raster import outline_edges, rasterized, snapped, traced
+from rivulet.tables import written
 
 MODES = ("disabled", "best-effort", "require")
 THRESHOLD = 1000.0
@@ -34,13 +37,23 @@ class Grid:
     encoding: str = "esri"
     units: str = "cells"
     crs: str = "EPSG:4326"
+    nodata: int | None = None
 
     def __post_init__(self):
         if self.height >= 0 or self.width <= 0:
             raise DatasetError("geo_transform", "a grid is north-up: its pixel height is below 0 and its width above")
+        if self.crs not in ("EPSG:4326", "EPSG:8857"):
+            raise DatasetError("crs", f"grids in {self.crs} aren't supported")
+        if direction_of_nodata(self.nodata, self.encoding):
+            raise DatasetError("directional_nodata", f"nodata {self.nodata} is a direction in {self.encoding}")
         if self.units == "km2" and self.crs == "EPSG:4326":
             raise DatasetError("units", "km2 accumulation needs a projected grid")
 
+    @property
+    def extent(self) -> tuple[float, float, float, float]:
+        """xmin, ymin, xmax, ymax in the grid's own coordinates."""
+        return self.origin_x, self.origin_y + self.rows * self.height, self.origin_x + self.cols * self.width, self.origin_y
+
     def cells_at(self, threshold: float) -> float:
         """The threshold, given in cells, in the grid's own unit."""
         return threshold * abs(self.width * self.height) / 1e6 if self.units == "km2" else threshold
@@ -61,7 +74,8 @@ def refine(terminals: DataFrame, grid: Grid, threshold: float = THRESHOLD, mode:
         return terminals.select("terminal_id", "unit_id", F.lit("disabled").alias("status"), F.lit(None).cast("string").alias("reason"), *[F.lit(None).cast(t).alias(c) for c, t in none.items()])
     place = (grid.origin_x, grid.origin_y, grid.width, grid.height)
     mask = rasterized(terminals, *place, grid.rows, grid.cols, key="terminal_id")
-    held = mask.join(grid.cells.select(F.col("row").cast("long"), F.col("col").cast("long"), "dir", "acc"), ["row", "col"]).withColumnRenamed("terminal_id", "grid_id")
+    known = grid.cells if grid.nodata is None else grid.cells.filter(F.col("dir") != grid.nodata)
+    held = mask.join(known.select(F.col("row").cast("long"), F.col("col").cast("long"), "dir", "acc"), ["row", "col"]).withColumnRenamed("terminal_id", "grid_id")
     points = terminals.select(
         F.col("terminal_id").alias("point_id"), F.col("terminal_id").alias("grid_id"), ((F.col("lat") - grid.origin_y) / grid.height).alias("prow"), ((F.col("lon") - grid.origin_x) / grid.width).alias("pcol")
     )
@@ -82,3 +96,83 @@ def refine(terminals: DataFrame, grid: Grid, threshold: float = THRESHOLD, mode:
         if failed:
             raise DatasetError(failed[0]["reason"], f"terminal {failed[0]['terminal_id']} can't be refined")
     return out
+
+
+#: Why a terminal wasn't refined -> what kind of reason that is.
+CATEGORIES = {
+    "no_d8_declared": "availability",
+    "no_grid_provided": "availability",
+    "spans_tiles": "availability",
+    "no_covering_tile": "availability",
+    "unreadable_d8_declared": "mis-declaration",
+    "no_edges": "data-geometry-integrity",
+    "empty_mask": "data-geometry-integrity",
+    "no_stream": "data-geometry-integrity",
+}
+
+
+def projected(edges: DataFrame, crs: str) -> DataFrame:
+    """``edges`` and ``lon``, ``lat`` of each row in the coordinates of ``crs``."""
+    if crs == "EPSG:4326":
+        return edges
+    at = equal_earth(F.col("lon"), F.col("lat"))
+    a, b = lambda e: equal_earth(e["x0"], e["y0"]), lambda e: equal_earth(e["x1"], e["y1"])
+    ring = F.transform("edges", lambda e: F.struct(a(e)["x"].alias("x0"), a(e)["y"].alias("y0"), b(e)["x"].alias("x1"), b(e)["y"].alias("y1")))
+    return edges.withColumns({"edges": ring, "lon": at["x"], "lat": at["y"]})
+
+
+def _values(name: str) -> Column:
+    return F.transform("edges", lambda e: e[name])
+
+
+def _unprojected(edges, crs: str):
+    if crs == "EPSG:4326":
+        return edges
+    a, b = lambda e: equal_earth_inverse(e["x0"], e["y0"]), lambda e: equal_earth_inverse(e["x1"], e["y1"])
+    return F.transform(edges, lambda e: F.struct(a(e)["lon"].alias("x0"), a(e)["lat"].alias("y0"), b(e)["lon"].alias("x1"), b(e)["lat"].alias("y1")))
+
+
+def refine_on_grids(terminals: DataFrame, grids: tuple[Grid, ...], declared: D8Declarations | None = None, threshold: float = THRESHOLD, mode: str = "best-effort") -> DataFrame:
+    """(outlet_id, terminal_id, status, category, reason, pour_lon, pour_lat, edges) of each outlet's terminal.
+
+    ``terminals`` has (outlet_id, terminal_id, lon, lat, edges) in degrees; each is refined on the
+    first grid whose extent holds it, in that grid's coordinates. Status is ``applied``,
+    ``skipped`` with a reason and its category, or ``disabled``; a skipped outlet doesn't stop others.
+    """
+    keys = terminals.select("outlet_id", "terminal_id")
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("pour_lon", "double"), ("pour_lat", "double"), ("edges", "array<struct<x0:double,y0:double,x1:double,y1:double>>"))]
+
+    def settled(rows: DataFrame, status: str, reason) -> DataFrame:
+        return rows.select("outlet_id", "terminal_id", F.lit(status).alias("status"), reason.cast("string").alias("reason"), *none)
+
+    declared = declared or D8Declarations(len(grids))
+    if mode == "disabled":
+        out = settled(keys, "disabled", F.lit(None))
+    elif not grids and not declared.readable:
+        out = settled(keys, "skipped", F.lit("unreadable_d8_declared" if declared.unreadable else "no_d8_declared"))
+    elif not grids:
+        out = settled(keys, "skipped", F.lit("no_grid_provided"))
+    else:
+        met = None
+        for i, grid in enumerate(grids):
+            ends = [f(_values(f"{c}0")).alias(f"{c}{n}") for c in "xy" for f, n in ((F.array_min, "min"), (F.array_max, "max"))]
+            box = projected(terminals, grid.crs).select("outlet_id", *ends)  # rings are closed: all their vertices begin an edge
+            xmin, ymin, xmax, ymax = map(F.lit, grid.extent)
+            holds = (F.col("xmin") >= xmin) & (F.col("xmax") <= xmax) & (F.col("ymin") >= ymin) & (F.col("ymax") <= ymax)
+            touches = (F.col("xmin") <= xmax) & (F.col("xmax") >= xmin) & (F.col("ymin") <= ymax) & (F.col("ymax") >= ymin)
+            part = box.select("outlet_id", F.when(holds, F.lit(i)).alias("held_by"), touches.alias("touches"))
+            met = part if met is None else met.union(part)
+        picks = met.groupBy("outlet_id").agg(F.min("held_by").alias("grid"), F.count_if("touches").alias("touching"), F.count("touches").alias("known"))
+        picked = written(terminals.join(picks, "outlet_id"))
+        reason = F.when(F.col("known") == 0, F.lit("no_edges")).when(F.col("touching") > 1, F.lit("spans_tiles")).otherwise(F.lit("no_covering_tile"))
+        out = settled(picked.filter("grid IS NULL"), "skipped", reason)
+        for i, grid in enumerate(grids):
+            own = projected(picked.filter(F.col("grid") == i), grid.crs)
+            asked = own.select(F.col("outlet_id").alias("terminal_id"), F.col("terminal_id").alias("unit_id"), "lon", "lat", "edges")
+            got = refine(asked, grid, threshold, "best-effort")
+            x, y = pixel_centre(F.col("pour_col"), grid.origin_x, grid.width), pixel_centre(F.col("pour_row"), grid.origin_y, grid.height)
+            if grid.crs != "EPSG:4326":
+                x, y = equal_earth_inverse(x, y)["lon"], equal_earth_inverse(x, y)["lat"]
+            out = out.union(got.select(F.col("terminal_id").alias("outlet_id"), F.col("unit_id").alias("terminal_id"), "status", "reason", x.alias("pour_lon"), y.alias("pour_lat"), _unprojected(F.col("edges"), grid.crs).alias("edges")))
+    kinds = F.create_map(*[F.lit(v) for pair in CATEGORIES.items() for v in pair])
+    return out.withColumn("category", F.when(F.col("status") == "skipped", F.element_at(kinds, F.col("reason"))))

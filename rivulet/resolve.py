@@ -6,14 +6,16 @@ that holds the larger of their lower corners, so no pair is made twice and none
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rivulet.errors import ResolutionError
-from rivulet.expressions import local_metres, point_in_edges, search_bbox
+from rivulet.expressions import local_metres, nearest_on_line, point_in_edges, search_bbox
 
 RADIUS_M, TOLERANCE_M, PIP_BUFFER_M = 1000.0, 1.0, 100.0
 CELL_DEGREES = 0.25
+# Fixed values of labels: the names of the rules that break ties, and of stem roles.
+TIE_NAMES = {"up_area": "HighestUpstreamArea", "area": "HighestLocalArea", "id": "LowestUnitId"}
 
 
 def cell_join(left: DataFrame, right: DataFrame, left_box: str, right_box: str, cell: float = CELL_DEGREES) -> DataFrame:
@@ -30,45 +32,67 @@ def cell_join(left: DataFrame, right: DataFrame, left_box: str, right_box: str,
     return joined.filter(overlap & (F.col("_cx") == corner("x")) & (F.col("_cy") == corner("y"))).drop("_cx", "_cy")
 
 
-def resolve_by_snap(outlets: DataFrame, snaps: DataFrame, radius_m: float = RADIUS_M, strategy: str = "weight-first", tolerance_m: float = TOLERANCE_M) -> DataFrame:
-    """(outlet_id, unit_id, snap_id, distance_m, weight, candidates) of each outlet with a target in reach.
+def _shaped(snaps: DataFrame) -> DataFrame:
+    """``snaps`` with ``points`` (a point's one or a line's several), ``problem`` and ``box``, of which any may be there already."""
+    if "points" not in snaps.columns:
+        snaps = snaps.withColumn("points", F.array(F.struct(F.col("lon").alias("x"), F.col("lat").alias("y"))))
+    if "problem" not in snaps.columns:
+        snaps = snaps.withColumn("problem", F.lit(None).cast("string"))
+    at = lambda c: F.transform("points", lambda p: p[c])
+    bounds = F.struct(*[f(at(c)).cast("float").alias(f"{c}{n}") for c, f, n in (("x", F.array_min, "min"), ("y", F.array_min, "min"), ("x", F.array_max, "max"), ("y", F.array_max, "max"))])
+    box = F.coalesce("box", bounds) if "box" in snaps.columns else bounds
+    return snaps.withColumn("box", box).filter("box.xmin IS NOT NULL")
+
+
+def resolve_by_snap(outlets: DataFrame, snaps: DataFrame, radius_m: float = RADIUS_M, strategy: str = "weight-first", tolerance_m: float = TOLERANCE_M, levels: Column | None = None) -> DataFrame:
+    """(outlet_id, unit_id, snap_id, distance_m, weight, stem_role, candidates, strategy, lon, lat, problem) of each
+    outlet with a target in reach; lon and lat are the target's nearest point.
 
     ``weight-first``: weight, then mainstem, then distance, then id. ``distance-first``: the
     nearest and all within ``tolerance_m`` of it, by weight, mainstem and id. ``candidates`` counts
-    the targets in the search box. The unit is the target's, whether or not it holds the outlet.
+    all targets in the search box; of them ``levels``, a condition on a target's columns, keeps those
+    that may be chosen. The unit is the target's, whether or not it holds the outlet. Where a target in the box
+    has a ``problem`` (it is neither point nor line), the outlet gets that instead of a unit.
+    ``snaps`` has lon and lat, or ``points`` (array of x, y) and perhaps ``problem`` and ``box``.
     """
     if strategy not in ("weight-first", "distance-first"):
         raise ResolutionError("strategy", f"unknown strategy {strategy!r}: weight-first or distance-first")
     boxed = outlets.select("outlet_id", F.col("lon").alias("olon"), F.col("lat").alias("olat"), search_bbox(F.col("lon"), F.col("lat"), radius_m).alias("search"))
-    point = F.struct(*[F.col(c).cast("float").alias(n) for c, n in (("lon", "xmin"), ("lat", "ymin"), ("lon", "xmax"), ("lat", "ymax"))])
-    near = cell_join(boxed, snaps.withColumn("box", point), "search", "box")
-    near = near.withColumn("distance_m", local_metres(F.col("olon"), F.col("olat"), F.col("lon"), F.col("lat")))
+    targets = _shaped(snaps).withColumn("fits", F.lit(True) if levels is None else F.coalesce(levels, F.lit(False))).drop("lon", "lat")
+    near = cell_join(boxed, targets, "search", "box").withColumn("at", nearest_on_line(F.col("olon"), F.col("olat"), F.col("points")))
+    near = near.withColumn("distance_m", local_metres(F.col("olon"), F.col("olat"), F.col("at.x"), F.col("at.y")))
     each = Window.partitionBy("outlet_id")
-    near = near.withColumn("candidates", F.count(F.lit(1)).over(each)).filter(F.col("distance_m") <= radius_m)
-    mainstem = (F.col("stem_role") == "mainstem").cast("int")
+    near = near.withColumns({"candidates": F.count(F.lit(1)).over(each), "problem": F.max(F.when(F.col("fits"), F.col("problem"))).over(each)})
+    near = near.filter(F.col("fits") & ((F.col("distance_m") <= radius_m) | F.col("problem").isNotNull()))
+    mainstem = F.coalesce((F.col("stem_role") == "mainstem").cast("int"), F.lit(0)).desc()
     if strategy == "distance-first":
-        near = near.withColumn("_least", F.min("distance_m").over(each)).filter(F.col("distance_m") <= F.col("_least") + tolerance_m)
-        order = [F.col("weight").desc(), F.coalesce(mainstem, F.lit(0)).desc(), F.col("snap_id")]
+        near = near.withColumn("_least", F.min("distance_m").over(each)).filter((F.col("distance_m") <= F.col("_least") + tolerance_m) | F.col("problem").isNotNull())
+        order = [F.col("weight").desc(), mainstem, F.col("snap_id")]
     else:
-        order = [F.col("weight").desc(), F.coalesce(mainstem, F.lit(0)).desc(), F.col("distance_m"), F.col("snap_id")]
+        order = [F.col("weight").desc(), mainstem, F.col("distance_m"), F.col("snap_id")]
     best = near.withColumn("_r", F.row_number().over(each.orderBy(*order))).filter(F.col("_r") == 1)
-    return best.select("outlet_id", "unit_id", "snap_id", "distance_m", "weight", "stem_role", "candidates")
+    good = lambda c: F.when(F.col("problem").isNull(), F.col(c))
+    return best.select(
+        "outlet_id", *[good(c).alias(c) for c in ("unit_id", "snap_id", "distance_m", "weight", "stem_role")], "candidates", F.lit(strategy).alias("strategy"), good("at.x").alias("lon"), good("at.y").alias("lat"), "problem"
+    )
 
 
 def resolve_by_containment(outlets: DataFrame, units: DataFrame) -> DataFrame:
-    """(outlet_id, unit_id, contact, tie_break, candidates): the unit that holds each outlet.
+    """(outlet_id, unit_id, contact, tie_break, candidates, problem): the unit that holds each outlet.
 
     Units that hold it inside come first; those that touch it count only if none does. Of several
     the largest upstream area wins (null last), then the largest area, then the smallest id;
-    ``tie_break`` names the rule that decided, null if there was one unit alone.
+    ``tie_break`` names the rule that decided, null if there was one unit alone. Candidates without
+    ``edges`` (their geometry is corrupt) don't count; an outlet with no other has the problem
+    ``all_geometries_corrupt`` and no unit.
     """
     boxed = outlets.select("outlet_id", "lon", "lat", search_bbox(F.col("lon"), F.col("lat"), PIP_BUFFER_M).alias("search"))
     box = F.struct("xmin", "ymin", "xmax", "ymax")
     near = cell_join(boxed, units.select("id", "area_km2", "up_area_km2", box.alias("box"), "edges"), "search", "box")
-    near = near.withColumn("code", point_in_edges(F.col("lon"), F.col("lat"), F.col("edges")))
+    near = near.withColumn("code", F.when(F.col("edges").isNotNull(), point_in_edges(F.col("lon"), F.col("lat"), F.col("edges"))))
     each = Window.partitionBy("outlet_id")
-    near = near.withColumn("candidates", F.count(F.lit(1)).over(each)).withColumn("best", F.max("code").over(each))
-    kept = near.filter((F.col("code") == F.col("best")) & (F.col("code") >= 0))
+    near = near.select("outlet_id", "id", "area_km2", "up_area_km2", "code").withColumn("candidates", F.count("code").over(each)).withColumn("best", F.max("code").over(each))
+    kept = near.filter(((F.col("code") == F.col("best")) & (F.col("code") >= 0)) | (F.col("candidates") == 0))
     order = each.orderBy(F.col("up_area_km2").desc_nulls_last(), F.col("area_km2").desc(), "id")
     ranked = kept.withColumn("_r", F.row_number().over(order))
     for c in ("id", "area_km2", "up_area_km2"):
@@ -80,13 +104,22 @@ def resolve_by_containment(outlets: DataFrame, units: DataFrame) -> DataFrame:
         .otherwise(F.lit("id"))
     )
     first = ranked.filter(F.col("_r") == 1)
-    return first.select("outlet_id", F.col("id").alias("unit_id"), F.when(F.col("code") == 1, F.lit("inside")).otherwise(F.lit("border")).alias("contact"), tie.alias("tie_break"), "candidates")
+    held = F.col("candidates") > 0
+    contact = F.when(held, F.when(F.col("code") == 1, F.lit("inside")).otherwise(F.lit("border")))
+    problem = F.when(~held, F.lit("all_geometries_corrupt"))
+    return first.select("outlet_id", F.when(held, F.col("id")).alias("unit_id"), contact.alias("contact"), F.when(held, tie).alias("tie_break"), "candidates", problem.alias("problem"))
 
 
 def method_label(resolved: DataFrame) -> DataFrame:
     """Adds ``method``: ``snap(...)`` where a target was taken, else ``pip(...)``."""
     if "snap_id" in resolved.columns:
-        text = F.format_string("snap(id=%d, dist=%.1fm, candidates=%d)", "snap_id", "distance_m", "candidates")
+        role = F.concat(F.lit("Some("), F.initcap("stem_role"), F.lit(")"))
+        text = F.format_string(
+            "snap(strategy=%s, id=SnapId(%d), dist=%.1fm, weight=Weight(%s), mainstem=%s, candidates=%d)",
+            "strategy", "snap_id", "distance_m", F.col("weight").cast("float").cast("string"), F.coalesce(role, F.lit("None")), "candidates",
+        )
+        text = F.when(F.col("snap_id").isNotNull(), text)
     else:
-        text = F.concat(F.lit("pip(candidates="), F.col("candidates").cast("string"), F.coalesce(F.concat(F.lit(", tie_break="), F.col("tie_break")), F.lit("")), F.lit(")"))
+        names = F.create_map(*[F.lit(x) for pair in TIE_NAMES.items() for x in pair])
+        text = F.concat(F.lit("pip(candidates="), F.col("candidates").cast("string"), F.coalesce(F.concat(F.lit(", tie_break="), F.element_at(names, F.col("tie_break"))), F.lit("")), F.lit(")"))
     return resolved.withColumn("method", text)

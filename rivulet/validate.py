@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Stem roles that snap targets may have.
@@ -12,7 +12,7 @@ STEM_ROLES = ("mainstem", "tributary", "distributary", "unknown")
 
 
 def violations(units: DataFrame, graph: DataFrame, snaps: DataFrame, snap_levels: tuple[int, ...] = (0,)) -> DataFrame:
-    """(check_name, n): how often each rule is broken.
+    """(check_name, n): how often each rule is broken; without ``snap_levels`` targets may be on any level.
 
     ``graph`` is (id, level, upstream_ids); its counterpart row is found by id, its links by explode.
     """
@@ -29,16 +29,23 @@ def violations(units: DataFrame, graph: DataFrame, snaps: DataFrame, snap_levels
     twice = graph.groupBy("id").count().filter("count > 1").agg(F.count(F.lit(1)).alias("duplicate_graph_id"))
     targets = snaps.join(u.withColumnRenamed("id", "unit_id"), "unit_id", "left").select(
         F.count_if(F.col("unit_level").isNull()).alias("snap_without_unit"),
-        F.count_if(~F.col("unit_level").isin(*snap_levels)).alias("snap_on_other_level"),
+        (F.count_if(~F.col("unit_level").isin(*snap_levels)) if snap_levels else F.lit(0).cast("long")).alias("snap_on_other_level"),
         F.count_if(F.col("stem_role").isNotNull() & ~F.col("stem_role").isin(*STEM_ROLES)).alias("unknown_stem_role"),
     )
-    nulls = units.select(F.count_if(F.col("id").isNull() | F.col("level").isNull() | F.col("area_km2").isNull() | F.col("xmin").isNull()).alias("null_required_cell"))
+    lacks = lambda df, columns: df.select(F.count_if(reduce(lambda a, b: a | b, [F.col(c).isNull() for c in columns if c in df.columns], F.lit(False))).alias("n"))
+    required = lacks(units, ("id", "level", "area_km2", "xmin", "ymin", "xmax", "ymax")).union(lacks(graph, ("id", "level", "upstream_ids"))).union(lacks(snaps, ("snap_id", "unit_id", "weight")))
+    nulls = required.agg(F.sum("n").alias("null_required_cell"))
     tables = [sides, edges, twice, targets, nulls]
     rows = [t.select(F.explode(F.array(*[F.struct(F.lit(c).alias("check_name"), F.col(c).alias("n")) for c in t.columns])).alias("r")).select("r.*") for t in tables]
     return reduce(DataFrame.union, rows)
 
 
+def valid_coordinate() -> Column:
+    """Whether ``lat`` and ``lon`` are numbers in range."""
+    good = F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180) & ~F.isnan("lat") & ~F.isnan("lon")
+    return F.coalesce(good, F.lit(False))
+
+
 def invalid_coordinates(outlets: DataFrame) -> DataFrame:
     """Outlets whose coordinates are null, not numbers or out of range."""
-    good = F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180) & ~F.isnan("lat") & ~F.isnan("lon")
-    return outlets.filter(~F.coalesce(good, F.lit(False)))
+    return outlets.filter(~valid_coordinate())
