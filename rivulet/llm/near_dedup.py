@@ -26,11 +26,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rivulet.llm.common import GOLDEN, free_name, materialize, mix, normal_words, release, string_slices, text_key, text_or_empty, window_hashes, word_hashes
+from rivulet.llm.common import GOLDEN, checked_broadcast, free_name, materialize, mix, normal_words, release, string_slices, text_key, text_or_empty, window_hashes, word_hashes
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 BANDS, BAND_ROWS = 32, 6
+#: Bytes of texts whose darts are thrown at once.
+SLICE = 1 << 19
 #: Rounds of one pivot a band, texts of a band whose remaining pairs are all compared, and what rounding may cost.
 PIVOT_ROUNDS, SMALL_BAND, SLACK = 3, 16, 1e-6
 
@@ -125,7 +127,7 @@ def _bands(bands: int, rows: int):
         import pyarrow as pa
 
         for batch in batches:
-            for row, data, offsets in string_slices(batch.column("words")):
+            for row, data, offsets in string_slices(batch.column("words"), SLICE):
                 elements, begin = unit_elements(data, offsets)
                 signature = dart_signatures(elements, begin, bands * rows)
                 n = len(begin) - 1
@@ -148,7 +150,7 @@ def _sketches(batches) -> Iterator:
     import pyarrow as pa
 
     for batch in batches:
-        for row, data, offsets in string_slices(batch.column("words")):
+        for row, data, offsets in string_slices(batch.column("words"), SLICE):
             elements, begin = unit_elements(data, offsets)
             part = batch.slice(row, len(begin) - 1)
             longs = pa.array(elements.view(np.int64))
@@ -261,9 +263,13 @@ def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     still = members = materialize(met.join(weights, "node").select("band", "node", "size", "weight", F.col("node").alias("root")))
 
     # what verifies them: the (shingle, occurrence) hashes of every text that meets another
-    involved = members.select("node").distinct().join(texts.select("node", "key", "least_id", "again"), "node")
-    wanted = base.join(involved, (base["key"] == involved["key"]) & base["id"].eqNullSafe(involved["least_id"])).select("node", "words", "again")
-    wanted = wanted.filter("NOT again").union(wanted.filter("again").dropDuplicates(["node"])).select("node", "words")
+    involved = materialize(members.select("node").distinct().join(texts.select("node", "key", "least_id", "again"), "node"))
+
+    def words_of(some: DataFrame) -> DataFrame:
+        return base.join(some, (base["key"] == some["key"]) & base["id"].eqNullSafe(some["least_id"])).select("node", "words")
+
+    repeated = checked_broadcast(materialize(involved.filter("again")))  # few in most corpora; they must not be read as often as they repeat
+    wanted = words_of(involved.filter("NOT again")).union(words_of(repeated).dropDuplicates(["node"]))
     sketches = materialize(wanted.mapInArrow(_sketches, "node long, sketch array<long>"))
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -320,8 +326,11 @@ def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column
     key, row_id, again = (free_name(docs, c) for c in ("near_key", "near_id", "near_again"))
     kept = near_classes(docs, id_column, text_column).filter("is_kept").groupBy(F.col("text_key").alias(key), F.col(id_column).alias(row_id)).agg((F.count(F.lit(1)) > 1).alias(again))
     kept = kept.withColumn(again, F.col(again) & (F.col(key) != text_key(F.lit(""))))
-    left = docs.withColumn(f"{key}_of_row", text_key(text_column))
-    met = left.join(kept, (F.col(f"{key}_of_row") == F.col(key)) & left[id_column].eqNullSafe(F.col(row_id)))
-    once = met.filter(~F.col(again))
-    several = met.filter(again).dropDuplicates([key, row_id])
-    return once.union(several).select(*docs.columns)
+    kept, left = materialize(kept), docs.withColumn(f"{key}_of_row", text_key(text_column))
+
+    def met(some: DataFrame) -> DataFrame:
+        return left.join(some, (F.col(f"{key}_of_row") == F.col(key)) & left[id_column].eqNullSafe(F.col(row_id)))
+
+    repeated = checked_broadcast(materialize(kept.filter(again)))
+    several = met(repeated).dropDuplicates([key, row_id])
+    return met(kept.filter(~F.col(again))).select(*docs.columns).union(several.select(*docs.columns))
