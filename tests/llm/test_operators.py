@@ -44,6 +44,35 @@ def test_top_k_equals_sql_with_ties_and_bad_rows(spark):
     assert top_k.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_far_shards_are_not_visited(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(0, 40, (16, 6))
+    rows = [(i, (centres[i % 16] + rng.normal(0, 0.5, 6)).tolist(), 0) for i in range(1600)]
+    monkeypatch.setattr(top_k, "SMALL_SHARD_ROWS", 100)
+    df = vectors(spark, rows)
+    same(top_k.top_k(df, F.col("vec_id") % 50 == 0), top_k.ORACLE, embeddings=df)
+    whole = np.floor(256 * np.array([r[1] for r in rows])).astype(np.int64)
+    balls = top_k.Balls(whole, 4)
+    cell, away = balls.cells(whole)
+    for c in range(16):
+        balls.radii[c] = away[cell == c].max(initial=-1.0)
+    scores = whole[::50] @ whole.T
+    kth = np.sort(scores, axis=1)[:, -6]
+    bounds = balls.bounds(whole[::50])
+    assert all((scores[:, cell == c] <= bounds[:, [c]]).all() for c in range(16))
+    assert (np.floor(bounds) >= kth[:, None]).mean() < 0.5
+
+
+def test_cells_larger_than_a_shard(spark, monkeypatch):
+    monkeypatch.setattr(top_k, "SHARD_ROWS", 40)
+    monkeypatch.setattr(top_k, "MOST_LEVELS", 2)
+    rng = random.Random(3)
+    df = vectors(spark, [(i, [rng.gauss(0, 1) for _ in range(4)], 0) for i in range(500)])
+    same(top_k.top_k(df, F.col("vec_id") % 50 == 0), top_k.ORACLE, embeddings=df)
+    clash = df.withColumns({c: F.lit(1) for c in ("v", "dim", "cell", "score", "rank", "floor", "query_id")})
+    same(top_k.top_k(clash, F.col("vec_id") % 50 == 0), top_k.ORACLE, embeddings=df)
+
+
 def test_ball_tree_prunes_and_is_exact():
     rng = np.random.default_rng(2)
     v = np.concatenate([rng.integers(-20, 20, (2000, 3)), rng.integers(200, 220, (300, 3))])
