@@ -189,14 +189,40 @@ def test_export_checks_and_geoparquet(spark, tmp_path):
         export.check_exportable(out.limit(0))
     with pytest.raises(errors.ExportError, match="missing_version"):
         export.delineation_label("f", None, "no-refine")
-    export.write_geoparquet(out, f"{tmp_path}/basins")
-    files = sorted((tmp_path / "basins").iterdir())
-    tables = [pq.read_table(x) for x in files]
-    assert sum(t.num_rows for t in tables) == 9
-    geo = json.loads(tables[0].schema.metadata[b"geo"])
+    export.write_geoparquet(out, f"{tmp_path}/basins", file_rows=3)
+    assert len(list((tmp_path / "basins").glob("*.parquet"))) == 3
+    assert export.write_geoparquet(out, f"{tmp_path}/basins") == 9  # again, with fewer files: nothing of the first stays
+    files = sorted((tmp_path / "basins").glob("*.parquet"))
+    assert len(files) == 1 and not list(tmp_path.glob("*.staging*"))
+    table = pq.read_table(files[0])
+    geo = json.loads(table.schema.metadata[b"geo"])
     assert geo["version"] == "1.1.0" and geo["columns"]["geometry"]["geometry_types"] == ["MultiPolygon"]
-    order = [h for t in tables for h in t["hilbert"].to_pylist()]
-    assert order == sorted(order)
+    assert geo["columns"]["geometry"]["bbox"] == list(rows.agg(F.min("xmin"), F.min("ymin"), F.max("xmax"), F.max("ymax")).first())
+    assert "hilbert" not in table.column_names
+    order = {r.basin_id: i for i, r in enumerate(out.collect())}
+    assert [order[b] for b in table["basin_id"].to_pylist()] == sorted(order.values())
+
+
+def test_row_groups_of_a_large_export(spark, tmp_path):
+    shape = geometry.to_wkb([box(0, 0, 1, 1)])
+    rows = spark.range(20_000).select(F.col("id").cast("string").alias("basin_id"), F.lit("d").alias("delineation"), F.lit(shape).alias("geometry"), F.col("id").alias("hilbert"), *[F.lit(float(i)).alias(c) for i, c in enumerate(("xmin", "ymin", "xmax", "ymax"))])
+    assert export.write_geoparquet(rows, f"{tmp_path}/many") == 20_000
+    meta = pq.ParquetFile(next((tmp_path / "many").glob("*.parquet"))).metadata
+    sizes = [meta.row_group(i).num_rows for i in range(meta.num_row_groups)]
+    assert sum(sizes) == 20_000 and all(export.LEAST_GROUP <= n <= export.MOST_GROUP for n in sizes)
+
+
+def test_unit_bundle_and_collisions(spark, tmp_path):
+    shape = geometry.to_wkb([box(0, 0, 2, 1)])
+    units = spark.createDataFrame([(1, 1, 0, 2.0, None, 0.5, 0.5, shape), (1, 2, 0, 2.0, 3.0, 0.5, 0.5, shape)], "terminal_id long, unit_id long, level smallint, area_km2 double, up_area_km2 double, outlet_lon double, outlet_lat double, geometry binary")
+    status = spark.createDataFrame([(1, "applied")], "terminal_id long, status string")
+    table = export.unit_table(units, "f/1/no-refine", status)
+    assert export.write_geoparquet(table, f"{tmp_path}/units", ("hilbert", "unit_id", "delineation")) == 2
+    back = pq.read_table(next((tmp_path / "units").glob("*.parquet")))
+    assert back["unit_id"].to_pylist() == [1, 2] and set(back["refinement_status"].to_pylist()) == {"applied"} and back["bbox_maxx"].to_pylist() == [2.0, 2.0]
+    two = spark.createDataFrame([("7", "d", 0.0, 0.0), ("7", "d", 1.0, 0.0)], "basin_id string, delineation string, _lon double, _lat double")
+    with pytest.raises(errors.ExportError, match="default_id_collision"):
+        export.check_exportable(two)
 
 
 def manifest(**change):

@@ -69,7 +69,7 @@ def test_cli(spark, tmp_path, capsys):
     said = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
     assert (said["total"], said["succeeded"], said["failed"]) == (2, 1, 1)
     features = [json.loads(r.value) for r in spark.read.text(f"{tmp_path}/out").collect()]
-    assert features[0]["geometry"]["type"] == "MultiPolygon" and features[0]["properties"]["terminal_id"] == 1
+    assert features[0]["geometry"]["type"] == "MultiPolygon" and features[0]["properties"]["terminal_unit_id"] == 1
     assert cli.main([*call[:-1], f"{tmp_path}/parquet", "--format", "geoparquet"]) == 1
     assert spark.read.parquet(f"{tmp_path}/parquet").count() == 1
     (tmp_path / "manifest.json").write_text("{}")
