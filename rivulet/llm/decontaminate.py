@@ -15,13 +15,16 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rivulet.llm.common import normal_words, powers, string_slices, window_hashes, word_hashes
+from rivulet.llm.common import free_name, materialize, normal_words, powers, string_slices, window_hashes, word_hashes
 
 #: Words of the shortest tile, and the part of an item's words that tiles must cover.
 SEED, THRESHOLD = 5, 0.6
 #: Words of benchmark items broadcast at once; a larger benchmark is taken block by block.
 BLOCK_WORDS = 500_000
+#: Blocks that are broadcast for one scan of the documents.
+BLOCKS_AT_ONCE = 8
 #: Bits of the filter that seeds must pass before their exact look-up.
 FILTER_BITS = 20
 
@@ -90,8 +93,8 @@ def tile(document: np.ndarray, item: np.ndarray, least: int = SEED) -> list[tupl
 class Items:
     """Benchmark items (hashed words) and the sorted seeds that look them up."""
 
-    def __init__(self, ids: list, words: list[np.ndarray]):
-        self.ids, self.words = ids, words
+    def __init__(self, ids: list, words: list[np.ndarray], last: bool = True):
+        self.ids, self.words, self.last = ids, words, last
         seeds, item, at = [], [], []
         for i, w in enumerate(words):
             h = window_hashes(w, SEED)
@@ -131,37 +134,41 @@ class Items:
                     yield int(t), int(i), tiles
 
 
-def item_blocks(benchmark: DataFrame, id_column: str = "item_id", text_column: str = "text") -> list[Items]:
-    """The benchmark in blocks of about BLOCK_WORDS words; one block is held at a time per broadcast."""
+def item_blocks(benchmark: DataFrame, id_column: str = "item_id", text_column: str = "text") -> Iterator[Items]:
+    """The benchmark in blocks of about BLOCK_WORDS words, collected when they are asked for: the driver holds one at a time.
+
+    Items that can't be in a pair, of fewer than SEED words, are left out; without any other there is one empty block.
+    """
     words = benchmark.select(F.col(id_column).alias("id"), normal_words(text_column).alias("words"))
-    total = words.agg(F.sum(F.size(F.split("words", " ")))).first()[0] or 0
+    size = F.size(F.split("words", " "))
+    words = materialize(words.filter(size >= SEED).withColumn("size", size))
+    total = words.agg(F.sum("size")).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_WORDS))
-    out = []
     for b in range(blocks):
-        rows = words.filter(F.pmod(F.xxhash64("words"), F.lit(blocks)) == b).orderBy("id", "words").collect() if total else []
+        rows = words.filter(F.pmod(F.xxhash64("words"), F.lit(blocks)) == b).orderBy("id", "words").collect()
         hashed = [(r["id"], word_hashes(d := np.frombuffer(r["words"].encode(), np.uint8), np.array([0, len(d)]))[0]) for r in rows]
-        out.append(Items([h[0] for h in hashed], [h[1] for h in hashed]))
-    return out
+        yield Items([h[0] for h in hashed], [h[1] for h in hashed], b + 1 == blocks)
 
 
-def _find(items, threshold: float):
+def _find(items, threshold: float, schema):
     def run(batches) -> Iterator:
         import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_type
 
-        held = items.value
+        held, id_type = items.value, to_arrow_type(schema["item_id"].dataType)
         for batch in batches:
             row, item, tiles = [], [], []
-            for first, data, offsets in string_slices(batch.column("_rv_words")):
+            for first, data, offsets in string_slices(batch.column("words")):
                 for t, i, found in held.pairs(data, offsets, threshold):
                     row.append(first + t)
                     item.append(i)
                     tiles.append(found)
             part = batch.take(pa.array(row, pa.int64()))
-            ids = pa.array([held.ids[i] for i in item], pa.int64())
+            ids = pa.array([held.ids[i] for i in item], id_type)
             sizes = pa.array([len(held.words[i]) for i in item], pa.int64())
             covered = pa.array([sum(n for _, _, n in x) for x in tiles], pa.int64())
             text = pa.array([",".join(f"{d}:{i}:{n}" for d, i, n in sorted(x)) for x in tiles], pa.string())
-            yield pa.RecordBatch.from_arrays([part.column(0), ids, sizes, covered, text], names=["doc_id", "item_id", "item_words", "covered_words", "tiles"])
+            yield pa.RecordBatch.from_arrays([part.column(0), ids, sizes, covered, text], names=schema.names)
 
     return run
 
@@ -173,7 +180,7 @@ def _drop(items, threshold: float):
         held = items.value
         for batch in batches:
             keep = np.ones(batch.num_rows, bool)
-            for first, data, offsets in string_slices(batch.column("_rv_words")):
+            for first, data, offsets in string_slices(batch.column(batch.num_columns - 1)):
                 for t, _, _ in held.pairs(data, offsets, threshold):
                     keep[first + t] = False
             columns = [batch.column(i) for i in range(batch.num_columns - 1)]
@@ -188,23 +195,35 @@ def contaminated(
     """(doc_id, item_id, item_words, covered_words, coverage, tiles) of every contaminated pair.
 
     ``tiles`` are ``document word:item word:words``, comma-joined. Null and empty texts and items
-    of fewer than SEED words are in no pair; repeated rows of either side are in pairs each; null
-    ids stay null; other columns are ignored.
+    of fewer than SEED words are in no pair; repeated rows of either side are in pairs each; ids may
+    have any type and null ones stay null; other columns are ignored; empty tables give no pairs.
     """
-    out = None
-    spark = docs.sparkSession
+    out, spark = None, docs.sparkSession
+    pairs = T.StructType([T.StructField("doc_id", docs.schema[id_column].dataType), T.StructField("item_id", benchmark.schema[item_column].dataType)])
+    schema = pairs.add("item_words", "long").add("covered_words", "long").add("tiles", "string")
+    words = docs.select(F.col(id_column).alias("doc_id"), normal_words(text_column).alias("words"))
     for items in item_blocks(benchmark, item_column, item_text_column):
         held = spark.sparkContext.broadcast(items)
-        schema = "doc_id long, item_id long, item_words long, covered_words long, tiles string"
-        words = docs.select(F.col(id_column).cast("long").alias("doc_id"), normal_words(text_column).alias("_rv_words"))
-        found = words.mapInArrow(_find(held, threshold), schema)
-        out = found if out is None else out.union(found)
+        found = words.mapInArrow(_find(held, threshold, schema), schema)
+        if items.last:
+            out = found if out is None else out.union(found)
+        else:  # done with before the next block is collected
+            found = materialize(found)
+            held.unpersist()
+            out = found if out is None else out.union(found)
     return out.select("doc_id", "item_id", "item_words", "covered_words", (F.col("covered_words") / F.col("item_words")).alias("coverage"), "tiles")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without its contaminated rows, columns as they were (nothing is shuffled)."""
-    for items in item_blocks(benchmark, item_column, item_text_column):
+    """``docs`` without its contaminated rows, columns as they were (nothing is shuffled).
+
+    Rows are judged by their texts alone: null and empty ones stay, repeated ones go together, ids
+    and other columns don't matter. An empty table, or an empty benchmark, drops nothing.
+    """
+    words = free_name(docs, "words")
+    for turn, items in enumerate(item_blocks(benchmark, item_column, item_text_column)):
+        if turn and turn % BLOCKS_AT_ONCE == 0:
+            docs = materialize(docs)
         held = docs.sparkSession.sparkContext.broadcast(items)
-        docs = docs.withColumn("_rv_words", normal_words(text_column)).mapInArrow(_drop(held, threshold), docs.schema)
+        docs = docs.withColumn(words, normal_words(text_column)).mapInArrow(_drop(held, threshold), docs.schema)
     return docs

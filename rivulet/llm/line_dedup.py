@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import checked_broadcast, materialize, text_key, text_or_empty
+from rivulet.llm.common import checked_broadcast, free_name, materialize, text_key, text_or_empty
 
 #: Leading tokens of a leaf, least tokens of a line that a template may drop, documents a line must recur in.
 LEADING, LEAST_TOKENS, LEAST_DOCS = 3, 4, 4
@@ -95,12 +95,13 @@ def drop_recurring_lines(docs: DataFrame, id_column: str = "doc_id", text_column
     rarest = F.min(F.struct("n", "cell")).over(Window.partitionBy("hash"))["cell"]
     deeper = materialize(rest.withColumn("pivot", rarest).drop("n"))
     gone = gone.union(found).union(_in_recurring(_templates(deeper, "pivot", least_docs), held, least_docs)).distinct()
-    drops = held.select("doc", "hash").join(gone, "hash").groupBy("doc").agg(F.collect_set("hash").alias("_gone"))
-    drops = materialize(drops.withColumnRenamed("doc", "_doc"))  # grows with the documents: joined by shuffle at any size
+    of_doc, hashes = free_name(docs, "of_doc"), free_name(docs, "gone_hashes")
+    drops = held.select("doc", "hash").join(gone, "hash").groupBy("doc").agg(F.collect_set("hash").alias(hashes))
+    drops = materialize(drops.withColumnRenamed("doc", of_doc))  # grows with the documents: joined by shuffle at any size
 
     rest = docs.drop(*[c for c in ("n_lines", "n_dropped") if c in docs.columns])
-    joined = rest.join(drops, F.xxhash64(F.col(id_column), text_key(text_column)) == F.col("_doc"), "left")
-    stay = F.when(F.col("_gone").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains("_gone", F.xxhash64(x))))
+    joined = rest.join(drops, F.xxhash64(F.col(id_column), text_key(text_column)) == F.col(of_doc), "left")
+    stay = F.when(F.col(hashes).isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.col(hashes), F.xxhash64(x))))
     n_lines = F.when(F.col(text_column).isNull(), F.lit(0)).otherwise(F.size(lines))
     return joined.select(
         *[F.when(F.col(c).isNotNull(), F.array_join(stay, "\n")).alias(c) if c == text_column else F.col(c) for c in rest.columns],

@@ -16,8 +16,9 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rivulet.llm.common import materialize, normal_words, string_slices, text_or_empty, word_hashes
+from rivulet.llm.common import free_name, normal_words, string_slices, text_or_empty, word_hashes
 
 TERMS, RANK, NEIGHBOURS = 2048, 48, 25
 #: Labelled documents that the classifier is fitted on at most (those of least hash).
@@ -108,7 +109,7 @@ def held_out(id_column: str = "doc_id") -> Column:
 
 
 def _slices(batch) -> Iterator[tuple[int, np.ndarray]]:
-    """(first row, counts) of slices of a batch that holds _text and _terms last."""
+    """(first row, counts) of slices of a batch that holds texts and their terms last."""
     n = batch.num_columns
     for first, data, offsets in string_slices(batch.column(n - 2)):
         rows = len(offsets) - 1
@@ -134,7 +135,7 @@ def _features(batches) -> Iterator:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at, kind), pa.array(value, kind)], names=["id", "quality", "at", "value"])
 
 
-def _score(voters):
+def _score(voters, name: str):
     def run(batches) -> Iterator:
         import pyarrow as pa
 
@@ -144,7 +145,7 @@ def _score(voters):
             for first, counts in _slices(batch):
                 out[first : first + len(counts)] = held.scores(counts)
             columns = [batch.column(i) for i in range(batch.num_columns - 2)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(out)], names=[*batch.schema.names[:-2], "_score"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(out)], names=[*batch.schema.names[:-2], name])
 
     return run
 
@@ -153,13 +154,15 @@ def fit_voters(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", te
     """Fit on at most ``sample`` labelled documents that aren't held out, those of least hash of id.
 
     Null or other labels than 0 and 1 are ignored, several labels of a document count as the least.
+    Null ids have no label, null and empty texts count with their labels, repeated rows each as far as the sample goes,
+    ids may have any type, other columns are ignored. Without labelled documents the voters give every text 0.5.
     """
     known = labels.filter(F.col(label_column).isin(0, 1) & F.col(id_column).isNotNull() & ~held_out(id_column))
     chosen = known.groupBy(id_column).agg(F.min(label_column).cast("int").alias("_label")).orderBy(F.xxhash64(id_column), id_column).limit(sample)
     chosen = chosen.select(F.col(id_column).alias("_id"), "_label")
     texts = docs.select(F.col(id_column).alias("_doc"), text_or_empty(text_column).alias("_text")).join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))
-    texts = texts.select(F.col("_id").cast("long"), "_label", "_text", normal_words("_text").alias("_terms"))
-    rows = texts.mapInArrow(_features, "id long, quality int, at array<int>, value array<int>").orderBy("id", "at", "value").limit(sample).collect()
+    texts = texts.select(F.col("_id").cast("string"), "_label", "_text", normal_words("_text").alias("_terms"))
+    rows = texts.mapInArrow(_features, "id string, quality int, at array<int>, value array<int>").orderBy("id", "at", "value").limit(sample).collect()
     counts = np.zeros((len(rows), 2 * TERMS), np.int32)
     for i, r in enumerate(rows):
         counts[i, r["at"]] = r["value"]
@@ -177,5 +180,6 @@ def with_quality(docs: DataFrame, voters: Voters, text_column: str = "text", sco
     held = docs.sparkSession.sparkContext.broadcast(voters)
     rest = docs.drop(score_column) if score_column in docs.columns else docs
     text = text_or_empty(text_column)
-    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields), "_score double"])
-    return rest.withColumns({"_text": text, "_terms": normal_words(text)}).mapInArrow(_score(held), fields).withColumnRenamed("_score", score_column)
+    schema = T.StructType([*rest.schema.fields, T.StructField(score_column, T.DoubleType())])
+    whole, terms = free_name(rest, "whole_text"), free_name(rest, "terms")
+    return rest.withColumns({whole: text, terms: normal_words(text)}).mapInArrow(_score(held, score_column), schema)

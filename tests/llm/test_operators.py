@@ -302,6 +302,20 @@ def test_tiling_equals_definition():
         assert len(used) == len(set(used))
 
 
+def test_contaminated_equals_tiling_every_pair(spark):
+    rng = random.Random(11)
+    few = ["a", "b", "c", "d", "e", "f"]
+    line = lambda n: [rng.choice(few) for _ in range(n)]
+    items = [(i, line(rng.randint(3, 24))) for i in range(12)]
+    docs = [(i, line(rng.randint(0, 70)) + (items[i % 12][1][: rng.randint(0, 24)] if i % 3 else [])) for i in range(60)]
+    want = {(d, i) for d, x in docs for i, y in items if len(y) >= 5 and tiles_by_definition(x, y, 5) >= 0.6 * len(y)}
+    df, bench = spark.createDataFrame([(f"d{d}", " ".join(x), 1) for d, x in docs], "doc_id string, text string, words int"), spark.createDataFrame([(i, " ".join(x)) for i, x in items], "item_id int, text string")
+    got = {(int(r.doc_id[1:]), r.item_id) for r in decontaminate.contaminated(df, bench).collect()}
+    assert got == want and 5 < len(want) < 300
+    left = decontaminate.decontaminate(df, bench)
+    assert left.columns == df.columns and {int(r.doc_id[1:]) for r in left.collect()} == {d for d, _ in docs} - {d for d, _ in want}
+
+
 def test_leaks_are_found_in_any_order(spark):
     rng = random.Random(5)
     items = [(i, prose(rng, 30)) for i in range(5)] + [(5, "too short"), (6, None), (None, prose(rng, 20))]
