@@ -26,13 +26,17 @@ BROADCAST_ROWS = 100_000
 CELL_ROWS = 20_000
 
 _local_folder: list[str] = []
+#: Scratch tables that are there.
+_made: list[str] = []
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``; a local one only where it is unset."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``; a local one only where it is unset on a local master."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _local_folder:
         folder = tempfile.TemporaryDirectory(prefix="rivulet-")
         atexit.register(folder.cleanup)
@@ -43,22 +47,37 @@ def scratch_folder(spark: SparkSession) -> str:
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
-    It cuts lineage, survives lost executors, and lets several readers use one computation.
+    It cuts lineage, survives lost executors, and lets several readers use one computation. The
+    tables stay until :func:`sweep`, since what an operator returns reads them.
     """
     spark = df.sparkSession
     path = f"{scratch_folder(spark)}/rivulet-{uuid.uuid4().hex}"
+    _made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def release(*tables: DataFrame) -> None:
     """Delete scratch tables of :func:`materialize` that no later plan reads."""
     for df in tables:
-        spark = df.sparkSession
         for file in df.inputFiles()[:1]:
-            path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-            if path.getName().startswith("rivulet-"):
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            folder = next((p for p in _made if file.startswith(p) or p.rsplit("/", 1)[1] in file), None)
+            if folder is not None:
+                _delete(df.sparkSession, folder)
+                _made.remove(folder)
+
+
+def sweep(spark: SparkSession, *kept: DataFrame) -> None:
+    """Delete this process's scratch tables but those that ``kept`` read: for when the results of operators have been written."""
+    names = {f.rsplit("/", 2)[-2] for df in kept for f in df.inputFiles()}
+    for path in [p for p in _made if p.rsplit("/", 1)[1] not in names]:
+        _delete(spark, path)
+        _made.remove(path)
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -103,10 +103,17 @@ def mixed(
     return ranked.select(*payload, "_size", "_source_size", "_target", copies.alias("_copies"))
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with each row as often as :func:`mixed` says, columns as they were."""
-    drawn = mixed(docs, **options)
-    return drawn.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int")))).select(*docs.columns)
+def mix(docs: DataFrame, source_column: str = "source", text_column: str = "text", id_column: str = "doc_id", seed: int = 7) -> DataFrame:
+    """``docs`` with each row as often as :func:`mixed` says, columns as they were, whatever their names.
+
+    Null texts and empty ones have no words, but are drawn as their source's other rows are; null
+    sources are one source, null ids are drawn by their text alone; repeated rows are drawn each;
+    an empty table gives an empty one.
+    """
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    drawn = mixed(docs.toDF(*names.values()), names[source_column], names[text_column], names[id_column], seed=seed)
+    copies = F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int")))
+    return drawn.withColumn("_copy", copies).select(*[F.col(short).alias(c) for c, short in names.items()])
 
 
 #: ``op3_mixing`` in DuckDB SQL.

@@ -181,6 +181,13 @@ def test_mix_emits_rows(spark):
     assert mixing.mix(empty(spark)).count() == 0
 
 
+def test_mix_bears_any_names(spark):
+    docs = awkward(spark).withColumnsRenamed({"size": "_size", "shard": "_source", "rank": "_copies", "class_id": "_cell", "target": "_target"})
+    out = mixing.mix(docs)
+    assert out.columns == docs.columns and {r["_source"] for r in out.collect()} == {"s"}
+    assert mixing.mix(empty(spark)).count() == 0
+
+
 def test_water_filling(spark):
     totals = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 1000)], "source string, source_size long")
     got = {r.source: r.target for r in mixing.source_targets(totals).collect()}
