@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -442,7 +443,23 @@ def d8_declaration_pick(spark, sf_dir):
     return covering_rasters(u.select(F.col("id").alias("terminal_id"), "xmin", "ymin", "xmax", "ymax"), rasters)
 
 
-@query()
+_DROP = "CASE WHEN dir IN (2, 4, 8) THEN 1 WHEN dir IN (32, 64, 128) THEN -1 ELSE 0 END"
+_SIDE = "CASE WHEN dir IN (1, 2, 128) THEN 1 WHEN dir IN (8, 16, 32) THEN -1 ELSE 0 END"
+
+
+@query(
+    _CELLS
+    + f""", g AS (SELECT count(*) // {WIDTH} AS rows FROM part),
+b AS (SELECT event_id AS t, event_id * 37 % 90 AS x, event_id * 53 % greatest(rows - 2, 1) AS y FROM events, g),
+m AS (SELECT t, x, y, row, col, acc, dir, row + {_DROP} AS tr, col + {_SIDE} AS tc FROM b JOIN cells ON col BETWEEN x AND x + 8 AND row BETWEEN y AND y + 6 JOIN g ON row < rows),
+pour AS (SELECT t, row, col FROM m WHERE acc >= 40 QUALIFY row_number() OVER (PARTITION BY t ORDER BY pow(row + 0.5 - (y + 4), 2) + pow(col + 0.5 - (x + 4), 2), acc DESC, row, col) = 1),
+tr AS (SELECT t, row, col FROM pour UNION SELECT m.t, m.row, m.col FROM tr JOIN m ON m.t = tr.t AND m.tr = tr.row AND m.tc = tr.col WHERE m.dir <> 0),
+n AS (SELECT t, count(*) AS n_cells FROM tr GROUP BY 1)
+SELECT b.t AS terminal_id, CASE WHEN pour.row IS NULL THEN 'skipped' ELSE 'applied' END AS status,
+  CASE WHEN pour.row IS NULL THEN CASE WHEN EXISTS (SELECT 1 FROM m WHERE m.t = b.t) THEN 'no_stream' ELSE 'empty_mask' END END AS reason, n_cells, pour.row AS pour_row, pour.col AS pour_col
+FROM b LEFT JOIN pour USING (t) LEFT JOIN n USING (t)""",
+    fabric=False,
+)
 def terminal_refinement(spark, sf_dir):
     """Boxes of 7 x 9 cells refined to what drains to a stream cell near their middle."""
     cells = _cells(spark, sf_dir).drop("grid_id")
@@ -528,6 +545,73 @@ def delineation_summary(spark, sf_dir):
     return batch_summary(Engine(synthetic_fabric(spark, sf_dir)).delineate(_asked(spark, sf_dir), geometry=False))
 
 
+def _faulty(spark: SparkSession, sf_dir: str) -> Fabric:
+    """The tree fabric with units missing and units on another level."""
+    f = synthetic_fabric(spark, sf_dir)
+    units = f.units.filter("id % 97 <> 5").withColumn("level", F.when(F.col("id") % 89 == 3, F.lit(1)).otherwise(F.lit(0)).cast("smallint"))
+    return replace(f, units=units)
+
+
+@query(
+    "+ bad AS (SELECT * REPLACE (CASE WHEN id % 89 = 3 THEN 1 ELSE 0 END AS level) FROM units WHERE id % 97 <> 5), lower AS (SELECT * FROM bad WHERE level = 0), "
+    + _PIP.lstrip("+ ").replace("JOIN units u", "JOIN lower u")
+    + """, closure AS (SELECT DISTINCT unit_id AS terminal_id, unit_id FROM resolved UNION SELECT c.terminal_id, t.upstream_id FROM closure c JOIN tree t ON t.id = c.unit_id),
+sizes AS (SELECT terminal_id, count(*) AS n_units, min(CASE WHEN b.id IS NULL THEN 'dangling_upstream_reference' WHEN b.level <> 0 THEN 'level_crossing' END) AS fault
+  FROM closure LEFT JOIN bad b ON b.id = closure.unit_id GROUP BY 1)
+SELECT o.outlet_id AS outlet_index, CASE WHEN o.outlet_id % 7 > 0 THEN (o.outlet_id % 50)::VARCHAR END AS outlet_id, CASE WHEN fault IS NULL THEN s.terminal_id END AS terminal_id,
+  CASE WHEN fault IS NULL THEN n_units END AS n_units, CASE WHEN s.terminal_id IS NULL THEN 'outside_all_units' ELSE fault END AS error
+FROM outlets o LEFT JOIN resolved r USING (outlet_id) LEFT JOIN sizes s ON s.terminal_id = r.unit_id"""
+)
+def delineation_faults(spark, sf_dir):
+    """Outlets whose ids are null or repeat, over a fabric with missing units and units on another level."""
+    o = synthetic_outlets(spark, sf_dir).withColumn("outlet_index", F.col("outlet_id"))
+    o = o.withColumn("outlet_id", F.when(F.col("outlet_index") % 7 > 0, (F.col("outlet_index") % 50).cast("string")))
+    done = Engine(_faulty(spark, sf_dir)).delineate(o, Options(level=0), geometry=False)
+    return done.select("outlet_index", "outlet_id", "terminal_id", "n_units", "error")
+
+
+@query(
+    "+ "
+    + _BOXED.format(r="20000.0::DOUBLE")
+    + """, lines AS (SELECT *, lon AS ax, lat AS ay, lon + 0.03::DOUBLE AS bx, lat + 0.02::DOUBLE AS by FROM snaps),
+met AS (SELECT o.outlet_id, o.lon AS ox, o.lat AS oy, s.* EXCLUDE (lon, lat), count(*) OVER (PARTITION BY o.outlet_id) AS candidates,
+    greatest(0.0::DOUBLE, least(1.0::DOUBLE, ((o.lon - ax) * (bx - ax) + (o.lat - ay) * (by - ay)) / ((bx - ax) * (bx - ax) + (by - ay) * (by - ay)))) AS part
+  FROM boxed o JOIN lines s ON ax::FLOAT <= o.x1 AND bx::FLOAT >= o.x0 AND ay::FLOAT <= o.y1 AND by::FLOAT >= o.y0),
+near AS (SELECT *, ax + part * (bx - ax) AS px, ay + part * (by - ay) AS py FROM met WHERE unit_id % 5 <> 0),
+far AS (SELECT *, sqrt(pow((px - ox) * 111320.0::DOUBLE * cos(radians((oy + py) / 2)), 2) + pow((py - oy) * 110540.0::DOUBLE, 2)) AS d FROM near)
+SELECT outlet_id, unit_id, snap_id, round(d, 1) AS distance_m, candidates, round(px, 5) AS lon, round(py, 5) AS lat FROM far WHERE d <= 20000.0
+QUALIFY row_number() OVER (PARTITION BY outlet_id ORDER BY weight DESC, (stem_role = 'mainstem')::INT DESC, d, snap_id) = 1"""
+)
+def snap_to_lines(spark, sf_dir):
+    """Targets that are lines, of which only some lie on the level: candidates count all in the box."""
+    line = F.array(F.struct(F.col("lon").alias("x"), F.col("lat").alias("y")), F.struct((F.col("lon") + 0.03).alias("x"), (F.col("lat") + 0.02).alias("y")))
+    snaps = synthetic_fabric(spark, sf_dir).snaps.withColumn("points", line).drop("lon", "lat")
+    got = resolve_by_snap(synthetic_outlets(spark, sf_dir), snaps, 20000.0, levels=F.col("unit_id") % 5 != 0)
+    return got.select("outlet_id", "unit_id", "snap_id", at("distance_m", 1), "candidates", at("lon", 5), at("lat", 5))
+
+
+@query()
+def delineate_geometry(spark, sf_dir):
+    """Every outlet with its watershed's geometry."""
+    done = Engine(synthetic_fabric(spark, sf_dir)).delineate(_asked(spark, sf_dir))
+    return done.select("outlet_id", "terminal_id", F.hex("geometry").alias("wkb"), F.round("area_km2", 6).alias("area_km2"), "parts", "refinement", "refinement_reason", "error")
+
+
+@query()
+def delineate_refined(spark, sf_dir):
+    """Every outlet with its terminal unit cut on a grid of 4 x 4 cells a unit, whose cells drain along diagonals and rows."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    lines = part.agg(F.floor((F.count(F.lit(1)) - 1) / F.lit(100.0)).cast("int")).first()[0] + 1
+    unit = part.select((F.lit(lines - 1) - F.expr(f"p_partkey div {WIDTH}")).alias("r"), (F.col("p_partkey") % WIDTH).alias("c"))
+    four = F.sequence(F.lit(0), F.lit(3))
+    cells = unit.select("r", "c", F.explode(four).alias("i")).select("r", "c", "i", F.explode(four).alias("j")).select((F.col("r") * 4 + F.col("i")).cast("int").alias("row"), (F.col("c") * 4 + F.col("j")).cast("int").alias("col"))
+    codes = F.array(*[F.lit(v) for v in (1, 2, 4, 2, 1, 128)])
+    cells = cells.withColumns({"dir": F.element_at(codes, (F.col("row") * 5 + F.col("col") * 3) % 6 + 1), "acc": ((F.col("row") * 7 + F.col("col") * 3) % 50).cast("double")})
+    grid = Grid(cells, -20.0, -10.0 + lines / 10.0, 0.025, -0.025, lines * 4, WIDTH * 4)
+    done = Engine(synthetic_fabric(spark, sf_dir), (grid,)).delineate(_asked(spark, sf_dir), Options(threshold=30.0))
+    return done.select("outlet_id", "terminal_id", "refinement", "refinement_reason", F.round("pour_lon", 6).alias("pour_lon"), F.round("pour_lat", 6).alias("pour_lat"), F.round("area_km2", 6).alias("area_km2"), "parts", "error")
+
+
 def queries() -> dict[str, Query]:
     return dict(FOUND)
 

@@ -6,7 +6,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from rivulet import closure, dataset, engine, errors, export, fabric, geometry
+from rivulet import closure, dataset, engine, errors, export, fabric, geometry, refine
 from rivulet import expressions as X
 
 SF = "/root/testdata/sf0.001"
@@ -132,7 +132,7 @@ def test_equal_earth_controls(spark):
 
 
 def test_outward_float(spark):
-    values = [0.1, -0.1, 0.5, 1e-3, 179.99999999, -89.123456789]
+    values = [0.1, -0.1, 0.5, 1e-3, 179.99999999, -89.123456789, 1 - 1e-9, 1 + 1e-9, -1 + 1e-9, -1 - 1e-9, 0.25 - 1e-12, 64 - 1e-7, -0.125 - 1e-11]
     rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", X.outward_float(F.col("v"), True).cast("double").alias("u"), X.outward_float(F.col("v"), False).cast("double").alias("d"))
     for r in rows.collect():
         near = float(np.float32(r.v))
@@ -153,6 +153,91 @@ def test_stages_equal_one_call(spark):
     assert all(r.error == "no_snap_candidate" for r in e.delineate(outlets, engine.Options(use_snap=True, search_radius_m=0.001), geometry=False).collect())
 
 
+def small_fabric(spark, bad=()):
+    """Three units in a row, 2 and 3 upstream of 1; ``bad`` ones have no geometry."""
+    rows = [(i, 0, 1.0, None, i - 1.0, 0.0, float(i), 1.0) for i in (1, 2, 3)]
+    units = spark.createDataFrame(rows, "id long, level smallint, area_km2 double, up_area_km2 double, xmin double, ymin double, xmax double, ymax double")
+    edges = X.rectangle_edges(*map(F.col, ("xmin", "ymin", "xmax", "ymax")))
+    units = units.withColumn("edges", F.when(~F.col("id").isin(*bad, -1), edges))
+    links = spark.createDataFrame([(1, 2), (2, 3)], "id long, upstream_id long")
+    return fabric.Fabric(units, links, spark.createDataFrame([], "snap_id long, unit_id long, weight double, stem_role string, lon double, lat double"))
+
+
+def test_ids_may_be_null_and_repeat(spark):
+    outlets = spark.createDataFrame([(None, 0.5, 0.5), (None, 2.5, 0.5), ("a", 1.5, 0.5), ("a", 0.5, 0.5), ("b", 99.0, 0.5), ("b", None, 0.5)], "outlet_id string, lon double, lat double").coalesce(1)
+    rows = engine.Engine(small_fabric(spark)).delineate(outlets).orderBy("outlet_index").collect()
+    assert [(r.outlet_id, r.terminal_id, r.n_units, r.parts, r.error) for r in rows] == [
+        (None, 1, 3, 1, None), (None, 3, 1, 1, None), ("a", 2, 2, 1, None), ("a", 1, 3, 1, None), ("b", None, None, None, "outside_all_units"), ("b", None, None, None, "invalid_coordinate")
+    ]
+    assert {r.refinement_reason for r in rows[:4]} == {"no_d8_declared"}
+    with pytest.raises(errors.RivuletError, match="outside_all_units"):
+        engine.raise_first_error(engine.Engine(small_fabric(spark)).delineate(outlets, geometry=False))
+
+
+def test_lost_units_and_geometries_are_errors(spark):
+    outlets = spark.createDataFrame([(i, i - 0.5, 0.5) for i in (1, 2, 3)], "outlet_id long, lon double, lat double")
+    f = small_fabric(spark)
+    lost = engine.Engine(fabric.Fabric(f.units.filter("id <> 3"), f.links, f.snaps)).delineate(outlets).orderBy("outlet_id").collect()
+    assert [(r.error, r.n_units) for r in lost] == [("dangling_upstream_reference", None)] * 2 + [("outside_all_units", None)]
+    torn = engine.Engine(small_fabric(spark, bad=(2,))).delineate(outlets).orderBy("outlet_id").collect()
+    assert [(r.error, r.parts) for r in torn] == [("unit_without_geometry", None), ("all_geometries_corrupt", None), (None, 1)]
+    wide = f.units.withColumn("edges", X.rectangle_edges(F.col("xmin"), F.col("ymin"), F.when(F.col("id") == 2, 2.4).otherwise(F.col("xmax")), F.col("ymax")))
+    over = engine.Engine(fabric.Fabric(wide, f.links, f.snaps)).delineate(outlets).orderBy("outlet_id").collect()
+    assert [r.error for r in over] == ["overlapping_units"] * 2 + [None]
+
+
+def test_options_by_row(spark):
+    outlets = spark.createDataFrame([(1, 0.5, 0.5, None), (2, 0.5, 0.5, True), (3, 2.5, 0.5, False)], "outlet_id long, lon double, lat double, use_snap boolean")
+    rows = engine.Engine(small_fabric(spark)).delineate_each(outlets, geometry=False).orderBy("outlet_id").collect()
+    assert [(r.terminal_id, r.error) for r in rows] == [(1, None), (None, "no_snap_candidate"), (3, None)]
+
+
+def test_delineate_refines_each_outlets_terminal(spark):
+    # 2 x 2 cells a unit: all drain east along their row, and the first column's cells are streams
+    cells = spark.createDataFrame([(r, c, 1 if c % 2 == 0 else 0, 500.0 if c % 2 else 1.0) for r in range(2) for c in range(6)], "row int, col int, dir int, acc double")
+    grid = refine.Grid(cells, 0.0, 1.0, 0.5, -0.5, 2, 6)
+    outlets = spark.createDataFrame([(1, 0.9, 0.9), (2, 0.9, 0.1), (3, 2.9, 0.9)], "outlet_id long, lon double, lat double")
+    e = engine.Engine(small_fabric(spark), (grid,))
+    rows = e.delineate(outlets, engine.Options(threshold=400.0)).orderBy("outlet_id").collect()
+    upper, lower, alone = ([[(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)]] for x0, y0, x1, y1 in ((1, 0, 3, 1), (1, 0, 3, 1), (2, 0.5, 3, 1)))
+    assert [r.refinement for r in rows] == ["applied"] * 3 and [(r.pour_lon, r.pour_lat) for r in rows] == [(0.75, 0.75), (0.75, 0.25), (2.75, 0.75)]
+    assert geometry.from_wkb(bytes(rows[0].geometry)) == [[[(0.0, 0.5), (1.0, 0.5), (1.0, 0.0), (3.0, 0.0), (3.0, 1.0), (0.0, 1.0), (0.0, 0.5)]]]
+    assert geometry.from_wkb(bytes(rows[1].geometry)) == [[[(0.0, 0.0), (3.0, 0.0), (3.0, 1.0), (1.0, 1.0), (1.0, 0.5), (0.0, 0.5), (0.0, 0.0)]]]
+    assert geometry.from_wkb(bytes(rows[2].geometry)) == [[[(2.0, 0.5), (3.0, 0.5), (3.0, 1.0), (2.0, 1.0), (2.0, 0.5)]]]
+    skipped = e.delineate(outlets, engine.Options(threshold=4000.0)).collect()
+    assert {(r.refinement, r.refinement_category, r.refinement_reason, r.error) for r in skipped} == {("skipped", "data-geometry-integrity", "no_stream", None)}
+    assert {r.error for r in e.delineate(outlets, engine.Options(threshold=4000.0, refinement="require")).collect()} == {"refinement_no_stream"}
+    assert {r.refinement for r in e.delineate(outlets, engine.Options(refinement="disabled")).collect()} == {"disabled"}
+    small = refine.Grid(cells, 0.0, 1.0, 0.3, -0.3, 2, 6)
+    assert {r.refinement_reason for r in engine.Engine(small_fabric(spark), (small,)).delineate(outlets).collect()} == {"no_covering_tile"}
+    declared = fabric.Fabric(*(getattr(small_fabric(spark), n) for n in ("units", "links", "snaps")), d8_schemas=fabric.D8Declarations(0, "hfx.aux.d8_raster.v1"))
+    assert {r.refinement_category for r in engine.Engine(declared).delineate(outlets).collect()} == {"mis-declaration"}
+
+
+def test_snap_geometries(spark, tmp_path):
+    import struct
+
+    point, line = struct.pack("<BIdd", 1, 1, 0.5, 0.5), struct.pack("<BII4d", 1, 2, 2, 0.0, 0.2, 1.0, 0.2)
+    near = {"xmin": 1.4, "ymin": 0.4, "xmax": 1.6, "ymax": 0.6}
+    rows = [(1, 1, 1.0, "mainstem", None, point), (2, 1, 2.0, None, None, line), (3, 2, 1.0, None, near, geometry.to_wkb([box(0, 0, 1, 1)])), (4, 2, 1.0, None, None, b"xx"), (5, 2, 1.0, None, None, None)]
+    spark.createDataFrame(rows, "id long, unit_id long, weight float, stem_role string, bbox struct<xmin:float,ymin:float,xmax:float,ymax:float>, geometry binary").write.parquet(f"{tmp_path}/snap.parquet")
+    raw = spark.read.parquet(f"{tmp_path}/snap.parquet").withColumnRenamed("bbox", "box")
+    snaps = raw.mapInArrow(dataset._shapes, dataset.SHAPES).withColumnRenamed("id", "snap_id")
+    assert [r.problem for r in snaps.orderBy("snap_id").collect()] == [None, None, "unsupported_snap_geometry", "corrupt_snap_geometry", "null_snap_geometry"]
+    f = small_fabric(spark)
+    e = engine.Engine(fabric.Fabric(f.units, f.links, snaps, has_snaps=True))
+    outlets = spark.createDataFrame([(1, 0.6, 0.25), (2, 1.5, 0.5), (3, 2.9, 0.9)], "outlet_id long, lon double, lat double")
+    got = e.delineate(outlets, engine.Options(search_radius_m=40_000.0), geometry=False).orderBy("outlet_id").collect()
+    assert (got[0].terminal_id, got[0].resolved_lon, got[0].resolved_lat) == (1, 0.6, 0.2) and "weight=Weight(2.0), mainstem=None, candidates=2" in got[0].method
+    assert [r.error for r in got] == [None, "unsupported_snap_geometry", "no_snap_candidate"]
+
+
+def test_corrupt_unit_geometries_are_null(spark):
+    shapes = [(1, geometry.to_wkb([box(0, 0, 1, 1)])), (2, b"\x01\x03"), (3, None), (4, geometry.to_wkb([box(0, 0, 1, float("nan"))]))]
+    got = spark.createDataFrame(shapes, "id long, geometry binary").mapInArrow(dataset._edges, f"id long, edges {dataset.EDGES}").collect()
+    assert {r.id: r.edges is None for r in got} == {1: False, 2: True, 3: True, 4: True}
+
+
 def test_refined_terminal_replaces_geometry(spark):
     f = fabric.synthetic_fabric(spark, SF)
     e = engine.Engine(f)
@@ -233,7 +318,9 @@ def manifest(**change):
 @pytest.mark.parametrize(
     ("change", "kind"),
     [({"format_version": "9", "crs": None}, "format_version"), ({"crs": "EPSG:3857"}, "crs"), ({"topology": "ring"}, "topology"), ({"bbox": [0, 0, 0, 1]}, "bbox"), ({"fabric_name": None}, "missing_field"),
-     ({"auxiliary": [{"schema": "x", "artifacts": {"a": "../b"}}]}, "path_escape"), ({"auxiliary": [{"schema": "x", "artifacts": {}}]}, "auxiliary")],
+     ({"auxiliary": [{"schema": "x", "artifacts": {"a": "../b"}}]}, "path_escape"), ({"auxiliary": [{"schema": "x", "artifacts": {}}]}, "auxiliary"), ({"bbox": [0, 0, "a", 1]}, "bbox"), ({"unit_count": "3"}, "unit_count"),
+     ({"auxiliary": [{"schema": "hfx.aux.d8_raster.v2", "artifacts": {"flow_dir": "a", "flow_acc": "b"}, "metadata": {"crs": "EPSG:3857", "flow_dir_encoding": "esri", "flow_acc_units": "cells"}}]}, "d8_metadata"),
+     ({"auxiliary": [{"schema": "hfx.aux.snap.v2", "artifacts": {"snap": "a"}, "metadata": {"name": "n", "description": "d", "weight_semantics": "w", "references_levels": [-1]}}]}, "snap_metadata")],
 )
 def test_manifest_errors(change, kind):
     with pytest.raises(errors.DatasetError) as found:
@@ -241,6 +328,15 @@ def test_manifest_errors(change, kind):
     assert found.value.kind == kind
 
 
+def test_auxiliary_declarations():
+    snap = lambda name, path, levels: {"schema": "hfx.aux.snap.v2", "artifacts": {"snap": path}, "metadata": {"name": name, "description": "d", "weight_semantics": "w", "references_levels": levels}}
+    found = dataset.parse_manifest(manifest(auxiliary=[snap("b", "x", [0, 1]), snap("a", "z", [1]), snap("a", "y", [1]), {"schema": "hfx.aux.d8_raster.v1"}, {"schema": "com.other.v1", "artifacts": {"a": "b"}}]))
+    assert found.snap_for(1)["artifacts"]["snap"] == "y" and found.snap_for(0)["artifacts"]["snap"] == "x" and found.snap_for(2) is None
+    assert found.d8 == fabric.D8Declarations(0, "hfx.aux.d8_raster.v1") and len(found.of_kind("generic")) == 1
+    with pytest.raises(errors.DatasetError, match="object"):
+        dataset.parse_manifest("[]")
+
+
 def test_open_dataset(spark, tmp_path):
     rows = [(i, 0, 1.0, {"xmin": 0.5 * i, "ymin": 0.0, "xmax": 0.5 * i + 0.5, "ymax": 0.5}, geometry.to_wkb([box(0.5 * i, 0, 0.5 * i + 0.5, 0.5)])) for i in range(3)]
     spark.createDataFrame(rows, "id long, level smallint, area_km2 float, bbox struct<xmin:float,ymin:float,xmax:float,ymax:float>, geometry binary").write.parquet(f"{tmp_path}/catchments.parquet")
