@@ -35,3 +35,22 @@ def test_a_group_is_cut_only_where_it_fits_no_shard():
         used[at] += g[0] * part
         assert abs(part.sum() - 1) < 1e-9
     assert used.max() < 100 + 1e-6
+
+
+def test_parcels_cost_little_against_packing_every_group(spark):
+    rng = random.Random(2)
+    texts = [prose(rng, rng.choice([3, 20, 60, 200])) for _ in range(4000)]
+    texts += [t for t in rng.sample(texts, 200) for _ in range(rng.randint(1, 12))]
+    out = sharding.shard(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).toPandas()
+    groups = {}
+    for t in texts:
+        g = groups.setdefault(t, np.zeros(3))
+        g += (len(t.encode()) + 1, len(t.split()), 1)
+    loads = np.array(list(groups.values()))
+    whole = sharding.pack(loads, np.full(len(loads), -1), 16)  # every group by itself, none by its hash
+    spread_of = lambda sums: (sums.max() - sums.min()) / sums.mean()
+    single = [spread_of(np.bincount(whole, loads[:, i], 16)) for i in range(3)]
+    tokens = out["text"].str.split().str.len()
+    got = [spread_of(out.groupby("shard")["size"].sum()), spread_of(tokens.groupby(out["shard"]).sum()), spread_of(out.groupby("shard").size())]
+    assert got[0] < single[0] + 0.005 and got[1] < single[1] + 0.03 and got[2] < single[2] + 0.15
+    assert out.groupby("text")["shard"].nunique().max() == 1
