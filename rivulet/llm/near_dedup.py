@@ -255,11 +255,11 @@ def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
     # bands in which different texts meet
     reps = wordy.join(texts.select("key", "node"), "key").filter(F.col("row") == F.col("node"))
-    entries = reps.select("node", "size", F.explode("bands").alias("band"))
+    entries = reps.select("node", F.explode("bands").alias("band"))
     shared = entries.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = materialize(entries.join(shared, "band").select("band", "node", "size", "n"))
+    met = materialize(entries.join(shared, "band").select("band", "node", "n"))
     # the text that meets most others is the likeliest to be what the rest were copied from
-    weights = met.groupBy("node").agg(F.sum("n").alias("weight"))
+    weights = met.groupBy("node").agg(F.sum("n").alias("weight")).join(reps.select("node", "size"), "node")
     still = members = materialize(met.join(weights, "node").select("band", "node", "size", "weight", F.col("node").alias("root")))
 
     # what verifies them: the (shingle, occurrence) hashes of every text that meets another
@@ -268,8 +268,9 @@ def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     def words_of(some: DataFrame) -> DataFrame:
         return base.join(some, (base["key"] == some["key"]) & base["id"].eqNullSafe(some["least_id"])).select("node", "words")
 
-    repeated = checked_broadcast(materialize(involved.filter("again")))  # few in most corpora; they must not be read as often as they repeat
-    wanted = words_of(involved.filter("NOT again")).union(words_of(repeated).dropDuplicates(["node"]))
+    # texts whose rows repeat are few in most corpora; their sketches must not be there as often
+    repeated = words_of(checked_broadcast(materialize(involved.filter("again")))).dropDuplicates(["node"])
+    wanted = words_of(involved.filter("NOT again").hint("merge")).union(repeated)  # grows with the documents: by shuffle at every size
     sketches = materialize(wanted.mapInArrow(_sketches, "node long, sketch array<long>"))
 
     def verified(pairs: DataFrame) -> DataFrame:
