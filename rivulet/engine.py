@@ -167,12 +167,16 @@ class Engine:
             refined = written(self.refine(there.join(faults, "terminal_id", "left_anti"), level, options))
             applied = refined.filter("status = 'applied'")
             lacking = units.filter("edges IS NULL").groupBy("terminal_id").agg(F.bool_or(F.col("unit_id") != F.col("terminal_id")).alias("other_lacks"), F.lit(True).alias("lacks"))
-            whole = units.join(refined.filter("status <> 'applied'").select("terminal_id").distinct(), "terminal_id", "left_semi")
-            shapes = self.dissolve(whole, options).select("terminal_id", *[F.col(c).alias(f"whole_{c}") for c in SHAPE])
-            own = self.dissolve_refined(units, applied, options).select("outlet_id", F.lit(True).alias("cut"), *SHAPE)
-            cut = F.coalesce("cut", F.lit(False))
-            done = done.join(refined.drop("terminal_id", "edges"), "outlet_id", "left").join(lacking, "terminal_id", "left").join(shapes, "terminal_id", "left").join(own, "outlet_id", "left")
-            done = done.withColumns({c: F.when(cut, F.col(c)).otherwise(F.col(f"whole_{c}")) for c in SHAPE})
+            done = done.join(refined.drop("terminal_id", "edges"), "outlet_id", "left").join(lacking, "terminal_id", "left")
+            if self.grids and options.refinement != "disabled":
+                whole = units.join(refined.filter("status <> 'applied'").select("terminal_id").distinct(), "terminal_id", "left_semi")
+                shapes = self.dissolve(whole, options).select("terminal_id", *[F.col(c).alias(f"whole_{c}") for c in SHAPE])
+                own = self.dissolve_refined(units, applied, options).select("outlet_id", F.lit(True).alias("cut"), *SHAPE)
+                cut = F.coalesce("cut", F.lit(False))
+                done = done.join(shapes, "terminal_id", "left").join(own, "outlet_id", "left")
+                done = done.withColumns({c: F.when(cut, F.col(c)).otherwise(F.col(f"whole_{c}")) for c in SHAPE})
+            else:
+                cut, done = F.lit(False), done.join(self.dissolve(units, options), "terminal_id", "left")
             broken = F.coalesce(F.when(cut, F.col("other_lacks")).otherwise(F.col("lacks")), F.lit(False))
             required = F.when((F.lit(options.refinement) == "require") & (F.col("refinement") != "applied"), F.concat(F.lit("refinement_"), F.col("refinement_reason")))
             error = F.coalesce(error, required, F.when(broken, F.lit("unit_without_geometry")), F.when(~F.coalesce("is_clean", F.lit(True)), F.lit("overlapping_units")))
