@@ -275,6 +275,26 @@ def test_urls_equal_sql(spark):
     assert {r.verdict for r in none.collect()} == {"allow"} and none.filter("rule IS NOT NULL").count() == 0
 
 
+def test_urls_of_any_size_and_columns(spark):
+    urls = ["https://a.example.org/es/" + "x" * 200_000] + ["http://b.com/de/1"] * 500 + [None, "", "nothing", "x://" + ".".join(["a"] * 3000) + ".org/"]
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumns({c: F.lit("z") for c in ("host", "path", "rule", "verdict", "_url")})
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge_urls(rows, url_filter.rule_table(spark)).collect()}
+    assert got[0] == ("example.org/es/", "block") and got[1] == got[500] == ("com/de/", "block") and got[501] == got[502] == got[503] == (None, "allow") and got[504] == ("org/", "allow")
+    assert url_filter.judge_urls(rows.limit(0), url_filter.rule_table(spark)).count() == 0
+
+
+def test_columns_named_like_internal_ones(spark):
+    docs = awkward(spark).withColumnsRenamed({"size": "of_doc", "shard": "gone_hashes", "rank": "whole_text", "class_id": "terms", "target": "words"})
+    out = line_dedup.drop_recurring_lines(docs)
+    assert out.columns == [*docs.columns, "n_lines", "n_dropped"] and {r.gone_hashes for r in out.collect()} == {"s"}
+    voters = quality.fit_voters(docs, docs.selectExpr("doc_id", "1 AS quality"))
+    scored = quality.with_quality(docs, voters)
+    assert {r.terms for r in scored.collect()} == {"c"} and scored.columns == [c for c in docs.columns if c != "score"] + ["score"]
+    bench = spark.createDataFrame([(1, "five words are in this item")], "item_id long, text string")
+    left = decontaminate.decontaminate(docs, bench)
+    assert left.columns == docs.columns and {r.words for r in left.collect()} == {"g"}
+
+
 # decontamination
 
 
