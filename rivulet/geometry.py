@@ -40,8 +40,8 @@ def _cancelled(each: DataFrame, key: str) -> DataFrame:
     return net.select(key, *[F.when(plus, F.col(f)).otherwise(F.col(b)).alias(n) for n, (f, b) in out.items()], F.abs("net").alias("times"), "piece")
 
 
-def _meetings(edges: DataFrame, key: str) -> DataFrame:
-    """(key, x0, y0, x1, y1, points, crossed): edges that an edge of another piece ends on, with the places, or crosses.
+def _meetings(edges: DataFrame, key: str, own: bool = False) -> DataFrame:
+    """(key, x0, y0, x1, y1, points, crossed): edges that an edge of another piece, or with ``own`` of any, ends on, with the places, or crosses.
 
     Edges are put in cells by their length: an edge lies in at most four cells of its class, and is
     looked for in the cells of its own and all longer classes of the key. Only cells that several
@@ -58,11 +58,13 @@ def _meetings(edges: DataFrame, key: str) -> DataFrame:
         return df.withColumn("cx", F.explode(across[0])).withColumn("cy", F.explode(across[1]))
 
     asking = celled(sized.join(classes, key).withColumn("of", F.explode(F.filter("classes", lambda c: c >= F.col("class")))).drop("classes"), "of")
-    shared = asking.groupBy(key, "of", "cx", "cy").agg(F.min("piece").alias("one"), F.max("piece").alias("another")).filter("one <> another").select(key, "of", "cx", "cy")
+    several = F.lit(True) if own else F.col("one") != F.col("another")
+    shared = asking.groupBy(key, "of", "cx", "cy").agg(F.min("piece").alias("one"), F.max("piece").alias("another")).filter(several).select(key, "of", "cx", "cy")
     shared = written(shared)
     held = celled(sized.withColumn("of", F.col("class")), "of").join(shared, [key, "of", "cx", "cy"], "left_semi")
     other = asking.join(shared, [key, "of", "cx", "cy"], "left_semi").select(key, "of", "cx", "cy", F.col("piece").alias("their"), *[F.col(c).alias(f"o{c}") for c in _ENDS])
-    met = held.join(other, [key, "of", "cx", "cy"]).filter("piece <> their")
+    met = held.join(other, [key, "of", "cx", "cy"])
+    met = met if own else met.filter("piece <> their")
     exact = lambda c: c.cast("decimal(20,0)")
     dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
 
@@ -115,6 +117,13 @@ def merged_border(each: DataFrame, key: str) -> DataFrame:
     return _cancelled(parted.drop("crossed"), key).drop("piece").join(faulty, key, "left").withColumn("crossed", F.coalesce("crossed", F.lit(False)))
 
 
+def simple_shapes(shapes: DataFrame, key: str, edges: str = "edges") -> DataFrame:
+    """(key, is_simple): whether no two edges of a shape cross each other; touching isn't crossing. Shapes without edges aren't there."""
+    each = piece_edges(shapes, key, edges)
+    crossed = _meetings(each, key, own=True).filter("crossed").select(key).distinct().withColumn("crossed", F.lit(True))
+    return each.select(key).distinct().join(crossed, key, "left").select(key, F.col("crossed").isNull().alias("is_simple"))
+
+
 def fits_together(border: DataFrame, key: str) -> DataFrame:
     """(key, is_clean): whether edges cancelled to a border that every vertex leaves as often as it is entered,
     no edge twice, and no edges cross. False where pieces overlap: such pieces need a general union first.

@@ -16,7 +16,7 @@ from rivulet.dataset import covering_rasters
 from rivulet.engine import Engine, Options
 from rivulet.export import basin_id_problem, basin_rows, batch_summary, default_basin_id, geojson_features, row_groups
 from rivulet.fabric import SQL, WIDTH, Fabric, synthetic_fabric, synthetic_outlets
-from rivulet.geometry import border_edges, fits_together
+from rivulet.geometry import border_edges, fits_together, simple_shapes
 from rivulet.refine import Grid, refine
 from rivulet.resolve import method_label, resolve_by_containment, resolve_by_snap
 from rivulet.tables import written
@@ -170,7 +170,7 @@ def pip_tie_breaks(spark, sf_dir):
     return got.groupBy(F.coalesce("tie_break", F.lit("none")).alias("tie_break"), "contact").agg(F.count(F.lit(1)).alias("outlets"))
 
 
-@query(_PIP + "SELECT outlet_id, 'pip(candidates=' || candidates || coalesce(', tie_break=' || CASE tie_break WHEN 'up_area' THEN 'HighestUpstreamArea' WHEN 'area' THEN 'HighestLocalArea' ELSE 'LowestUnitId' END, '') || ')' AS method FROM resolved")
+@query(_PIP + "SELECT outlet_id, 'pip(candidates=' || candidates || coalesce(', tie_break=' || CASE tie_break WHEN 'up_area' THEN 'HighestUpstreamArea' WHEN 'area' THEN 'HighestLocalArea' WHEN 'id' THEN 'LowestUnitId' END, '') || ')' AS method FROM resolved")
 def resolution_labels(spark, sf_dir):
     return method_label(resolve_by_containment(synthetic_outlets(spark, sf_dir), synthetic_fabric(spark, sf_dir).units)).select("outlet_id", "method")
 
@@ -277,6 +277,17 @@ def geojson_watersheds(spark, sf_dir):
     return geojson_features(e.dissolve(e.pre_merge_units(closure, 0)), ["terminal_id", "parts"]).select("terminal_id", "feature")
 
 
+@query("SELECT id, id % 3 <> 0 AS is_simple FROM units")
+def self_intersections(spark, sf_dir):
+    """Every unit's box, every third one with two corners swapped."""
+    u = synthetic_fabric(spark, sf_dir).units
+    corners = [("xmin", "ymin"), ("xmax", "ymin"), ("xmax", "ymax"), ("xmin", "ymax")]
+    at = lambda pair, c, n: F.col(pair[0] if c == "x" else pair[1]).alias(f"{c}{n}")
+    ring = lambda order: F.array(*[F.struct(at(a, "x", 0), at(a, "y", 0), at(b, "x", 1), at(b, "y", 1)) for a, b in zip(order, [*order[1:], order[0]], strict=True)])
+    bow = [corners[0], corners[2], corners[1], corners[3]]
+    return simple_shapes(u.select("id", F.when(F.col("id") % 3 == 0, ring(bow)).otherwise(ring(corners)).alias("edges")), "id")
+
+
 _EARTH = """
 WITH c AS (SELECT event_id, (event_id * 37 % 3601 - 1800) / 10.0::DOUBLE AS lon, (event_id * 53 % 1801 - 900) / 10.0::DOUBLE AS lat FROM events),
 k AS (SELECT (1 / 298.257223563::DOUBLE) * (2 - 1 / 298.257223563::DOUBLE) AS e2),
@@ -357,12 +368,13 @@ def flow_directions(spark, sf_dir):
 @query(
     """SELECT v.range::INT AS code, CASE WHEN v.range > 127 THEN v.range - 256 ELSE v.range END BETWEEN -8 AND 0 AS terminal,
   CASE v.range WHEN 1 THEN 'NE' WHEN 2 THEN 'N' WHEN 3 THEN 'NW' WHEN 4 THEN 'W' WHEN 5 THEN 'SW' WHEN 6 THEN 'S' WHEN 7 THEN 'SE' WHEN 8 THEN 'E' END AS grass,
-  CASE v.range WHEN 1 THEN 'E' WHEN 2 THEN 'NE' WHEN 3 THEN 'N' WHEN 4 THEN 'NW' WHEN 5 THEN 'W' WHEN 6 THEN 'SW' WHEN 7 THEN 'S' WHEN 8 THEN 'SE' END AS taudem FROM range(256) v""",
+  CASE v.range WHEN 1 THEN 'E' WHEN 2 THEN 'NE' WHEN 3 THEN 'N' WHEN 4 THEN 'NW' WHEN 5 THEN 'W' WHEN 6 THEN 'SW' WHEN 7 THEN 'S' WHEN 8 THEN 'SE' END AS taudem,
+  CASE WHEN v.range BETWEEN 1 AND 8 THEN v.range ELSE 0 END::INT AS taudem_code FROM range(256) v""",
     fabric=False,
 )
 def flow_codes(spark, sf_dir):
     codes = spark.range(256).select(F.col("id").cast("int").alias("code"))
-    return codes.select("code", (X.flow_code_kind(F.col("code"), "grass") == "terminal").alias("terminal"), X.flow_direction(F.col("code"), "grass").alias("grass"), X.flow_direction(F.col("code"), "taudem").alias("taudem"))
+    return codes.select("code", (X.flow_code_kind(F.col("code"), "grass") == "terminal").alias("terminal"), X.flow_direction(F.col("code"), "grass").alias("grass"), X.flow_direction(F.col("code"), "taudem").alias("taudem"), X.flow_code(X.flow_direction(F.col("code"), "taudem"), "taudem").alias("taudem_code"))
 
 
 @query(
@@ -573,11 +585,11 @@ def delineation_faults(spark, sf_dir):
 @query(
     "+ "
     + _BOXED.format(r="20000.0::DOUBLE")
-    + """, lines AS (SELECT *, lon AS ax, lat AS ay, lon + 0.03::DOUBLE AS bx, lat + 0.02::DOUBLE AS by FROM snaps),
+    + """, lines AS (SELECT *, lon AS ax, lat AS ay, lon + 0.03::DOUBLE AS cx, lat + 0.02::DOUBLE AS cy FROM snaps),
 met AS (SELECT o.outlet_id, o.lon AS ox, o.lat AS oy, s.* EXCLUDE (lon, lat), count(*) OVER (PARTITION BY o.outlet_id) AS candidates,
-    greatest(0.0::DOUBLE, least(1.0::DOUBLE, ((o.lon - ax) * (bx - ax) + (o.lat - ay) * (by - ay)) / ((bx - ax) * (bx - ax) + (by - ay) * (by - ay)))) AS part
-  FROM boxed o JOIN lines s ON ax::FLOAT <= o.x1 AND bx::FLOAT >= o.x0 AND ay::FLOAT <= o.y1 AND by::FLOAT >= o.y0),
-near AS (SELECT *, ax + part * (bx - ax) AS px, ay + part * (by - ay) AS py FROM met WHERE unit_id % 5 <> 0),
+    greatest(0.0::DOUBLE, least(1.0::DOUBLE, ((o.lon - ax) * (cx - ax) + (o.lat - ay) * (cy - ay)) / ((cx - ax) * (cx - ax) + (cy - ay) * (cy - ay)))) AS part
+  FROM boxed o JOIN lines s ON ax::FLOAT <= o.x1 AND cx::FLOAT >= o.x0 AND ay::FLOAT <= o.y1 AND cy::FLOAT >= o.y0),
+near AS (SELECT *, ax + part * (cx - ax) AS px, ay + part * (cy - ay) AS py FROM met WHERE unit_id % 5 <> 0),
 far AS (SELECT *, sqrt(pow((px - ox) * 111320.0::DOUBLE * cos(radians((oy + py) / 2)), 2) + pow((py - oy) * 110540.0::DOUBLE, 2)) AS d FROM near)
 SELECT outlet_id, unit_id, snap_id, round(d, 1) AS distance_m, candidates, round(px, 5) AS lon, round(py, 5) AS lat FROM far WHERE d <= 20000.0
 QUALIFY row_number() OVER (PARTITION BY outlet_id ORDER BY weight DESC, (stem_role = 'mainstem')::INT DESC, d, snap_id) = 1"""

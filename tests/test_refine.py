@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from rivulet import cli, errors, geometry, refine
+from rivulet import cli, errors, geometry, raster, refine
 from rivulet import expressions as X
 
 
@@ -56,6 +56,27 @@ def test_modes(spark):
     assert grid(spark, units="km2", crs="EPSG:8857").cells_at(1000.0) == 0.001
 
 
+def test_masks_and_codes(spark):
+    cells = grid(spark).cells.withColumn("grid_id", F.lit(0))
+    inside = cells.filter("row = 1").select("grid_id", "row", "col")
+    got = {(r.row, r.col): (r.dir, r.acc) for r in raster.masked(cells, inside).collect()}
+    assert got[1, 0] == (1, 1.0) and got[0, 0] == (255, None) and len(got) == 25
+    with pytest.raises(errors.DatasetError, match="directional_nodata"):
+        grid(spark, nodata=128)
+    assert X.direction_of_nodata(255, "esri") is None and X.direction_of_nodata(None, "grass") is None
+
+
+def test_traces_go_around_cycles(spark):
+    # a cycle of four cells, one cell that drains into it, and a pour beside it
+    rows = [(0, 0, 1), (0, 1, 4), (1, 1, 16), (1, 0, 64), (2, 0, 64), (2, 1, 0), (2, 2, 16)]
+    cells = spark.createDataFrame([(0, *r) for r in rows], "grid_id int, row int, col int, dir int")
+    pours = spark.createDataFrame([(1, 0, 1, 1), (2, 0, 2, 1), (3, 0, 2, 0)], "pour_id int, grid_id int, row int, col int")
+    got = {}
+    for r in raster.traced(cells, pours).collect():
+        got.setdefault(r.pour_id, set()).add((r.row, r.col))
+    assert got == {1: {(0, 0), (0, 1), (1, 1), (1, 0), (2, 0)}, 2: {(2, 1), (2, 2)}, 3: {(2, 0)}}
+
+
 def test_cli(spark, tmp_path, capsys):
     box = [[(0, 0), (1, 0), (1, 1), (0, 1), (0, 0)]]
     bbox = {"xmin": 0.0, "ymin": 0.0, "xmax": 1.0, "ymax": 1.0}
