@@ -108,16 +108,14 @@ def held_out(id_column: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.encode(F.col(id_column).cast("string"), "UTF-8")) % 5 == 0, F.lit(False))
 
 
-def _slices(batch) -> Iterator[tuple[int, np.ndarray]]:
-    """(first row, counts) of slices of a batch that holds texts and their terms last."""
-    n = batch.num_columns
-    for first, data, offsets in string_slices(batch.column(n - 2)):
+def _slices(texts, terms) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, counts) of slices of a batch's texts and their terms."""
+    for first, data, offsets in string_slices(texts):
         rows = len(offsets) - 1
-        parts = [p for p in string_slices(batch.column(n - 1).slice(first, rows), limit=1 << 40)]
+        (_, w, o), *_ = string_slices(terms.slice(first, rows), limit=1 << 40)
         for a in range(0, rows, 256):
             b = min(rows, a + 256)
             raw = (data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            _, w, o = parts[0]
             yield first + a, term_counts(raw, (w[o[a] : o[b]], o[a : b + 1] - o[a]))
 
 
@@ -126,7 +124,7 @@ def _features(batches) -> Iterator:
 
     for batch in batches:
         at, value = [], []
-        for _, counts in _slices(batch):
+        for _, counts in _slices(batch.column(2), batch.column(3)):
             for row in counts:
                 some = np.flatnonzero(row)
                 at.append(some.astype(np.int32))
@@ -135,17 +133,17 @@ def _features(batches) -> Iterator:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at, kind), pa.array(value, kind)], names=["id", "quality", "at", "value"])
 
 
-def _score(voters, name: str):
+def _score(voters, text: str, name: str):
     def run(batches) -> Iterator:
         import pyarrow as pa
 
         held = voters.value
         for batch in batches:
             out = np.zeros(batch.num_rows)
-            for first, counts in _slices(batch):
+            for first, counts in _slices(batch.column(text), batch.column(batch.num_columns - 1)):
                 out[first : first + len(counts)] = held.scores(counts)
-            columns = [batch.column(i) for i in range(batch.num_columns - 2)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(out)], names=[*batch.schema.names[:-2], name])
+            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(out)], names=[*batch.schema.names[:-1], name])
 
     return run
 
@@ -179,7 +177,6 @@ def with_quality(docs: DataFrame, voters: Voters, text_column: str = "text", sco
     """
     held = docs.sparkSession.sparkContext.broadcast(voters)
     rest = docs.drop(score_column) if score_column in docs.columns else docs
-    text = text_or_empty(text_column)
     schema = T.StructType([*rest.schema.fields, T.StructField(score_column, T.DoubleType())])
-    whole, terms = free_name(rest, "whole_text"), free_name(rest, "terms")
-    return rest.withColumns({whole: text, terms: normal_words(text)}).mapInArrow(_score(held, score_column), schema)
+    terms = free_name(rest, "terms")
+    return rest.withColumn(terms, normal_words(text_column)).mapInArrow(_score(held, text_column, score_column), schema)
