@@ -43,8 +43,8 @@ def _cancelled(each: DataFrame, key: str) -> DataFrame:
 def _meetings(edges: DataFrame, key: str, own: bool = False) -> DataFrame:
     """(key, x0, y0, x1, y1, points, crossed): edges that an edge of another piece, or with ``own`` of any, ends on, with the places, or crosses.
 
-    Edges are put in cells by their length: an edge lies in at most four cells of its class, and is
-    looked for in the cells of its own and all longer classes of the key. Only cells that several
+    Edges are put in cells by their length: an edge lies in a few cells of its class. Others ask in the cells of
+    each class of the key: with the whole edge where it is no longer, else with its first vertex. Only cells that several
     pieces touch matter, so pieces that lie apart cost one aggregate.
     """
     spans = F.greatest(F.abs(F.col("x1") - F.col("x0")), F.abs(F.col("y1") - F.col("y0")), F.lit(1))
@@ -54,10 +54,12 @@ def _meetings(edges: DataFrame, key: str, own: bool = False) -> DataFrame:
     def celled(df: DataFrame, of: str) -> DataFrame:
         width = F.pow(F.lit(2.0), F.col(of))
         cell = lambda c: F.floor(c / width).cast("long")
-        across = [F.sequence(cell(F.least(a, b) - 1), cell(F.greatest(a, b) + 1)) for a, b in (("x0", "x1"), ("y0", "y1"))]
+        # of cells too small for the edge it asks for those of its first vertex alone, which may lie on a shorter edge
+        ends = [(F.col(f"{c}0"), F.when(F.col(of) < F.col("class"), F.col(f"{c}0")).otherwise(F.col(f"{c}1"))) for c in "xy"]
+        across = [F.sequence(cell(F.least(a, b) - 1), cell(F.greatest(a, b) + 1)) for a, b in ends]
         return df.withColumn("cx", F.explode(across[0])).withColumn("cy", F.explode(across[1]))
 
-    asking = celled(sized.join(classes, key).withColumn("of", F.explode(F.filter("classes", lambda c: c >= F.col("class")))).drop("classes"), "of")
+    asking = celled(sized.join(classes, key).withColumn("of", F.explode("classes")).drop("classes"), "of")
     several = F.lit(True) if own else F.col("one") != F.col("another")
     shared = asking.groupBy(key, "of", "cx", "cy").agg(F.min("piece").alias("one"), F.max("piece").alias("another")).filter(several).select(key, "of", "cx", "cy")
     shared = written(shared)

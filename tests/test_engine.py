@@ -74,8 +74,9 @@ def boxes(spark, rows):
 
 def test_t_junctions_dissolve(spark):
     rows = [(1, 0, 0, 2, 1), (1, 0, 1, 1, 2), (1, 1, 1, 2, 2), (2, 0, 0, 3, 3), (2, 3, 1, 4, 2), (2, 3, 0, 4, 1), (2, 3, 2, 5, 3), (2, 4, 0, 5, 2)]
+    rows += [(3, x, 0, x + 5, 1) for x in (0, 5)] + [(3, x, 1, x + 2, 2) for x in range(0, 10, 2)]  # each side has vertices on the other's
     got = {r.k: r for r in geometry.dissolved(geometry.border_edges(boxes(spark, rows), "k"), "k").collect()}
-    for k, (w, h) in {1: (2, 2), 2: (5, 3)}.items():
+    for k, (w, h) in {1: (2, 2), 2: (5, 3), 3: (10, 2)}.items():
         assert got[k].is_clean and got[k].parts == 1
         assert geometry.from_wkb(bytes(got[k].geometry)) == [[[(0.0, 0.0), (w, 0.0), (w, h), (0.0, h), (0.0, 0.0)]]]
     # a slanted border whose middle vertex, rounded to the grid, lies beside the long edge
