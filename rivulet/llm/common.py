@@ -125,7 +125,7 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
     return _powers[name][:n]
 
 
-def string_slices(values, limit: int = 1 << 21) -> Iterable[tuple[int, np.ndarray, np.ndarray]]:
+def string_slices(values, limit: int = 1 << 19) -> Iterable[tuple[int, np.ndarray, np.ndarray]]:
     """Whole strings of an Arrow string array in slices of about ``limit`` bytes.
 
     Yields (first row, bytes as uint8, offsets); a string over the limit is a slice of its own.
@@ -144,6 +144,7 @@ def string_slices(values, limit: int = 1 << 21) -> Iterable[tuple[int, np.ndarra
         end = min(end, len(values))
         yield row, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end
+    pa.default_memory_pool().release_unused()  # a worker lives long: what Arrow holds in reserve goes back
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

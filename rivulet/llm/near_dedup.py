@@ -32,7 +32,7 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 BANDS, BAND_ROWS = 32, 6
 #: Bytes of texts whose darts are thrown at once.
-SLICE = 1 << 19
+SLICE = 1 << 18
 #: Rounds of one pivot a band, texts of a band whose remaining pairs are all compared, and what rounding may cost.
 PIVOT_ROUNDS, SMALL_BAND, SLACK = 3, 16, 1e-6
 

@@ -38,6 +38,8 @@ from rivulet.llm.common import string_slices
 
 #: Bytes of a chunk, of a chunk inside a very long piece, and of the text before such a chunk that suggests its state.
 CHUNK, LONG_CHUNK, LEAD = 256, 1024, 64
+#: Bytes of texts whose chunks step together.
+SLICE = 1 << 21
 #: Bytes of a long text that are read at once, if it has a place to part it.
 WINDOW = 1 << 22
 #: States that a worker keeps; beyond that it compiles anew, with the same results.
@@ -419,7 +421,7 @@ def _count(path: str, names: list[str]):
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
             sizes, tokens = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for _, data, offsets in string_slices(texts):
+            for _, data, offsets in string_slices(texts, SLICE):
                 sizes.append(np.diff(offsets))
                 if len(offsets) == 2 and len(data) > 2 * WINDOW:
                     tokens.append(np.array([sum(int(t.count(part, np.array([0, len(part)]))[0]) for part in t.windows(data))]))
